@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpusmill.llm import mojibake
+from korpusmill.llm import canon, mojibake
 from korpusmill.session import table
 
 
@@ -12,5 +12,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore_tokens(table(spark, sf_dir, "conll_words"))
 
 
-QUERIES = {"p6_found": p6_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canon.canonical_tokens(table(spark, sf_dir, "conll_words"))
+
+
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
