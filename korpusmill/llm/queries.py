@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from korpusmill.llm import canon, mojibake
+from korpusmill.llm import canon, langid, mojibake
 from korpusmill.session import table
 
 
@@ -12,9 +13,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore_tokens(table(spark, sf_dir, "conll_words"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.mislabelled_sentences(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conll_words"))
+
+
+def p1_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages, words = table(spark, sf_dir, "messages"), table(spark, sf_dir, "conll_words")
+    return langid.stretches(words, langid.train(messages, words)).withColumn("confidence", F.round("confidence", 4))
+
+
+def p1_message_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.message_languages(spark, table(spark, sf_dir, "messages"), table(spark, sf_dir, "conll_words"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.canonical_tokens(table(spark, sf_dir, "conll_words"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p1_message_languages": p1_message_languages, "p4_found": p4_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
