@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import canon, langid, mojibake
+from korpusmill.llm import bpe, canon, consensus, langid, mojibake
 from korpusmill.session import table
 
 
@@ -30,5 +30,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.canonical_tokens(table(spark, sf_dir, "conll_words"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p1_message_languages": p1_message_languages, "p4_found": p4_found, "p6_found": p6_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus_passages(table(spark, sf_dir, "markables")).select("file_name", "first_word", "last_word", "polarity")
+
+
+def p7_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = consensus.Consensus(consensus.passage_votes(table(spark, sf_dir, "markables")))
+    return fitted.annotators.select("annotator", "competence", F.explode("guess").alias("label", "guess")).withColumn("guess", F.round("guess", 6))
+
+
+def p7_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.agreement_alpha(consensus.passage_votes(table(spark, sf_dir, "markables")))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    decoded = bpe.decode_corpus(bpe.encode_corpus(documents)).withColumnRenamed("text", "decoded")
+    same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
+    return documents.select("doc_id", "text").join(decoded, "doc_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(same.cast("int")).alias("n_same"))
+
+
+_ALL = (p1_found, p1_stretches, p1_message_languages, p4_found, p6_found, p7_found, p7_reliability, p7_agreement, p8_ids, p8_roundtrip)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
