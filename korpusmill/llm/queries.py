@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import bpe, canon, consensus, langid, mojibake
+from korpusmill.llm import bpe, canon, consensus, langid, leakage, mojibake, shared_spans
 from korpusmill.session import table
 
 
@@ -54,6 +54,25 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "text").join(decoded, "doc_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(same.cast("int")).alias("n_same"))
 
 
-_ALL = (p1_found, p1_stretches, p1_message_languages, p4_found, p6_found, p7_found, p7_reliability, p7_agreement, p8_ids, p8_roundtrip)
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leak_containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_characters(table(spark, sf_dir, "documents"))
+
+
+def p10_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.span_clusters(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    p1_found, p1_stretches, p1_message_languages, p4_found, p6_found, p7_found, p7_reliability, p7_agreement, p8_ids, p8_roundtrip,
+    p9_found, p9_containment, p10_found, p10_clusters,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
