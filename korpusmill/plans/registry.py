@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpusmill.plans import quality
+from korpusmill.plans import corpus, quality, tokens
 
-_MODULES = (quality,)
+_REGISTRIES = (corpus.R, tokens.R)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
-ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(quality.QUERIES)
+ORACLES: dict[str, str] = dict(quality.ORACLES)
+for _registry in _REGISTRIES:
+    QUERIES.update(_registry.queries)
+    ORACLES.update(_registry.oracles)
