@@ -68,7 +68,7 @@ def template_features(tokens: DataFrame, score: str | None = None, signed: bool
     if score:
         value = F.coalesce(F.col(score), F.lit(0.0))
         named.append(("polScore[0]", polarity_class(value if signed else F.abs(value))))
-    named += [("deprel[-1]|deprel[0]", F.concat_ws("|", "_rm", "_r") if False else F.when(F.col("_rm").isNotNull(), F.concat_ws("|", "_rm", "_r"))), ("deprel[0]", F.col("_r")), ("deprel[0]|deprel[1]", F.when(F.col("_rp").isNotNull(), F.concat_ws("|", "_r", "_rp")))]
+    named += [("deprel[-1]|deprel[0]", F.when(F.col("_rm").isNotNull(), F.concat_ws("|", "_rm", "_r"))), ("deprel[0]", F.col("_r")), ("deprel[0]|deprel[1]", F.when(F.col("_rp").isNotNull(), F.concat_ws("|", "_r", "_rp")))]
     feats = [F.when(v.isNotNull(), F.concat(F.lit(n + "="), v)) for n, v in named]
     feats.append(F.when(F.col("phead") == F.col("_pi"), "prevWordIsMyParent=True").when(F.col("_ph") == F.col("idx"), "prevWordIsMyChild=True"))
     return rows.select(*SENT, "idx", F.array_compact(F.array(*feats)).alias("features"))

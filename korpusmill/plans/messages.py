@@ -253,7 +253,7 @@ R.add(
 
 
 @R.add(
-    f"""with {TWO}, {WORDSQL}, am as (select distinct t.file, t.annotator, ms.msg_no from two t join ms on ms.file_name = t.file and ms.word_id = t.word where t.level = 'sentiment'),
+    f"""with {TWO}, {WORDSQL}, am as (select distinct t.file, t.annotator, ms.msg_no from two t join ms on ms.file_name = t.file and ms.word_id = t.word where t.level = 'sentiment' and ms.form <> 'EOL'),
  mg as (select distinct file_name as file, msg_no from ms where form <> 'EOL'), x as (select mg.file, mg.msg_no, max((annotator = 1)::int) as m1, max((annotator = 2)::int) as m2 from mg left join am using (file, msg_no) group by 1, 2),
  c as (select count(*) as n, sum(coalesce(m1, 0)) as a, sum(coalesce(m2, 0)) as b, sum(coalesce(m1 * m2, 0)) as ab from x), k as (select *, (a / n) * (b / n) + (1 - a / n) * (1 - b / n) as ch, (n - a + ab - b + ab) / n as ag from c)
  select n, a::bigint as a, b::bigint as b, ab::bigint as n_both, round((ag - ch) / (1 - ch), 6) as kappa, round(ab / b, 6) as prec, round(ab / a, 6) as recall, round(2 * (ab / b) * (ab / a) / ((ab / b) + (ab / a)), 6) as f1 from k"""

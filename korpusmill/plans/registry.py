@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpusmill.plans import corpus, messages, quality, tokens
+from korpusmill.plans import corpus, language, messages, quality, tokens
 
-_REGISTRIES = (corpus.R, tokens.R, messages.R)
+_REGISTRIES = (corpus.R, tokens.R, messages.R, language.R)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(quality.QUERIES)
 ORACLES: dict[str, str] = dict(quality.ORACLES)
