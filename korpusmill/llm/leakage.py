@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +28,21 @@ WINDOW, SHINGLE = 13, 5
 _WORDS: dict[str, int] = {}
 
 
+@lru_cache(maxsize=1)
 def _patterns():
     import regex
 
-    global _RUN, _HIDDEN
-    _RUN = regex.compile(r"[\p{L}\p{N}]+")
-    _HIDDEN = regex.compile(r"[\p{Cf}͏︀-️]+")
-    return _RUN, _HIDDEN
-
-
-_RUN = _HIDDEN = None
+    return regex.compile(r"[\p{L}\p{N}]+"), regex.compile(r"[\p{Cf}\u034F\uFE00-\uFE0F]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Words of a text: invisible characters removed, accents composed, lower case."""
     if not text:
         return []
-    if _RUN is None:
-        _patterns()
+    run, hidden = _patterns()
     if not text.isascii():
-        text = unicodedata.normalize("NFC", _HIDDEN.sub("", text))
-    return _RUN.findall(text.lower())
+        text = unicodedata.normalize("NFC", hidden.sub("", text))
+    return run.findall(text.lower())
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -116,9 +111,9 @@ def _windows(key: str, filtered: bool):
                     low = _signed(window_minhash(values, WINDOW, SHINGLE))
                     keep = starts[: len(low)].copy()
                     if filtered:
-                        for i in np.unique(owner):
-                            mine = np.flatnonzero(owner[: len(low)] == i)
-                            keep[mine] &= np.isin(low[mine], np.array(wanted[rows[0] + i], dtype=np.int64))
+                        edges = np.flatnonzero(np.diff(owner[: len(low)])) + 1
+                        for a, b in zip([0, *edges], [*edges, len(low)]):
+                            keep[a:b] &= np.isin(low[a:b], np.array(wanted[rows[0] + owner[a]], dtype=np.int64))
                     at = np.flatnonzero(keep)
                     who, pos = owner[at].tolist(), place[at].tolist()
                     yield pa.RecordBatch.from_arrays(
