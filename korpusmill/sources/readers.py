@@ -28,7 +28,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     A file is read whole by one task as its line numbers need its order; files are the unit
     of parallelism, as in a corpus of many small files.
     """
-    files = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n").alias("ls"))
+    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n").alias("ls"))
     rows = files.select("file", F.posexplode("ls").alias("p", "line"), F.size("ls").alias("n")).where(~((F.col("p") == F.col("n") - 1) & (F.col("line") == "")))
     return rows.select("file", (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", r"\s+$", "").alias("line"))
 
