@@ -9,7 +9,9 @@ plainly canonical set reach DuckDB; for the others the rules cannot change anyth
 
 Defined results: null stays null and yields no row; an empty string is canonical; a
 string of blanks or invisible characters only becomes the empty string; a tie between
-scripts goes to Latin; words wholly in one script keep it.
+scripts goes to Latin; words wholly in one script keep
+it; if letters have no look-alike in the script of the majority, the script that all letters
+can have is taken.
 """
 
 from __future__ import annotations
@@ -109,14 +111,17 @@ def canon_sql(source: str = "batch", value: str = "value") -> str:
       SELECT * EXCLUDE (s2), translate(trim(regexp_replace(s2, '[{BLANKS}]', ' ', 'g'), ' '), {_quote(wide)}, {_quote(plain)}) AS s3 FROM stripped
     ), counted AS (
       SELECT *, length(regexp_replace(s3, '[^\p{{Latin}}]', '', 'g')) AS n_l, length(regexp_replace(s3, '[^\p{{Cyrillic}}]', '', 'g')) AS n_c,
-        length(regexp_replace(s3, '[^\p{{Greek}}]', '', 'g')) AS n_g FROM spaced
+        length(regexp_replace(s3, '[^\p{{Greek}}]', '', 'g')) AS n_g, translate(s3, {to["L"][0]}, {to["L"][1]}) AS t_l, translate(s3, {to["C"][0]}, {to["C"][1]}) AS t_c,
+        translate(s3, {to["G"][0]}, {to["G"][1]}) AS t_g FROM spaced
+    ), pure AS (
+      SELECT *, NOT regexp_matches(t_l, '[\p{{Cyrillic}}\p{{Greek}}]') AS p_l, NOT regexp_matches(t_c, '[\p{{Latin}}\p{{Greek}}]') AS p_c,
+        NOT regexp_matches(t_g, '[\p{{Latin}}\p{{Cyrillic}}]') AS p_g, n_l >= n_c AND n_l >= n_g AS m_l, n_c >= n_g AS m_c FROM counted
     )
-    SELECT * EXCLUDE (s3, n_l, n_c, n_g), nfc_normalize(CASE
+    SELECT * EXCLUDE (s3, n_l, n_c, n_g, t_l, t_c, t_g, p_l, p_c, p_g, m_l, m_c), nfc_normalize(CASE
       WHEN (n_l > 0)::INT + (n_c > 0)::INT + (n_g > 0)::INT < 2 THEN s3
-      WHEN n_l >= n_c AND n_l >= n_g THEN translate(s3, {to["L"][0]}, {to["L"][1]})
-      WHEN n_c >= n_g THEN translate(s3, {to["C"][0]}, {to["C"][1]})
-      ELSE translate(s3, {to["G"][0]}, {to["G"][1]}) END) AS canon
-    FROM counted"""
+      WHEN m_l AND p_l THEN t_l WHEN NOT m_l AND m_c AND p_c THEN t_c WHEN NOT m_l AND NOT m_c AND p_g THEN t_g
+      WHEN p_l THEN t_l WHEN p_c THEN t_c WHEN p_g THEN t_g WHEN m_l THEN t_l WHEN m_c THEN t_c ELSE t_g END) AS canon
+    FROM pure"""
 
 
 @lru_cache(maxsize=1)

@@ -118,7 +118,8 @@ class Consensus:
         best = F.array_max(F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.lit(-i).alias("o"), F.lit(t).alias("label")) for i, t in enumerate(self.labels)]))
         verdict = final.groupBy("pattern").agg(F.first(best).alias("b"))
         total = F.size("votes")
-        same = F.aggregate(F.array(*[F.size(F.filter("votes", lambda v, t=t: v["label"] == t)) for t in self.labels]), F.lit(0), lambda a, x: a + x * (x - 1))
+        given = lambda t: F.size(F.filter("votes", lambda v: v["label"] == t))
+        same = F.aggregate(F.array(*map(given, self.labels)), F.lit(0), lambda a, x: a + x * (x - 1))
         self.items = self.patterns.withColumn("pattern", F.xxhash64("votes")).join(verdict, "pattern").select(
             "item", total.alias("n_annotators"), F.col("b.label").alias("label"), F.round("b.p", 6).alias("confidence"),
             F.round(F.when(total > 1, same / (total * (total - 1))), 6).alias("agreement"),
