@@ -33,12 +33,12 @@ LOST = "�"
 UTF8_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251")
 #: Code pages that Latin-1 bytes are mistaken for.
 LATIN1_AS = ("cp437", "mac_roman")
-#: Code point ranges whose characters may have been garbled.
+#: Code point ranges whose characters may have been garbled; of equal sequences the earlier range counts.
 TARGETS = (
-    (0x0080, 0x024F), (0x02B0, 0x02FF), (0x0300, 0x036F), (0x0370, 0x03FF), (0x0400, 0x045F), (0x1E00, 0x1EFF), (0x200B, 0x2044),
+    (0x00A0, 0x024F), (0x02B0, 0x02FF), (0x0300, 0x036F), (0x0370, 0x03FF), (0x0400, 0x045F), (0x1E00, 0x1EFF), (0x200B, 0x2044),
     (0x2060, 0x2060), (0x2070, 0x209C), (0x20A0, 0x20BF), (0x2100, 0x214F), (0x2150, 0x218F), (0x2190, 0x22FF), (0x2300, 0x23FF),
     (0x2500, 0x27BF), (0x3000, 0x3000), (0xF8FF, 0xF8FF), (0xFB00, 0xFB06), (0xFE0F, 0xFE0F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E),
-    (0x1F1E6, 0x1F1FF), (0x1F300, 0x1FAFF),
+    (0x1F1E6, 0x1F1FF), (0x1F300, 0x1FAFF), (0x0080, 0x009F),
 )
 #: Letters a one-byte pair may have garbled.
 LATIN1_TARGETS = "àáâãäåæçèéêëìíîïñòóôõöøùúûüßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜ"
