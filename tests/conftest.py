@@ -10,9 +10,10 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 @pytest.fixture(scope="session")
 def spark():
-    from korpusmill.session import local_session
+    from korpusmill.session import local_session, ship_package
 
     session = local_session(app="tests")
+    ship_package(session)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
