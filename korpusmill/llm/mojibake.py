@@ -14,8 +14,8 @@ Two families of pairs are known:
   a proposal wins if the corpus (counts over all tokens) knows the restored word
   better than the written one.
 
-Defined results: null and empty strings are never affected; a string with U+FFFD
-has lost characters and gets the empty string; repeated rows are judged alike.
+Defined results: null and empty strings are never affected; a string with U+FFFD,
+plain or garbled itself, has lost characters and gets the empty string; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ UTF8_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251
 LATIN1_AS = ("cp437", "mac_roman")
 #: Code point ranges whose characters may have been garbled; of equal sequences the earlier range counts.
 TARGETS = (
-    (0x00A0, 0x024F), (0x02B0, 0x02FF), (0x0300, 0x036F), (0x0370, 0x03FF), (0x0400, 0x045F), (0x1E00, 0x1EFF), (0x200B, 0x2044),
+    (0x00A0, 0x017F), (0x0192, 0x0192), (0x0218, 0x021B), (0x02B0, 0x02FF), (0x0300, 0x036F), (0x0370, 0x03FF), (0x0400, 0x045F), (0x1E00, 0x1EFF), (0x200B, 0x2044),
     (0x2060, 0x2060), (0x2070, 0x209C), (0x20A0, 0x20BF), (0x2100, 0x214F), (0x2150, 0x218F), (0x2190, 0x22FF), (0x2300, 0x23FF),
-    (0x2500, 0x27BF), (0x3000, 0x3000), (0xF8FF, 0xF8FF), (0xFB00, 0xFB06), (0xFE0F, 0xFE0F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E),
+    (0x2500, 0x27BF), (0x3000, 0x3000), (0xF8FF, 0xF8FF), (0xFB00, 0xFB06), (0xFE0F, 0xFE0F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E), (0xFFFD, 0xFFFD),
     (0x1F1E6, 0x1F1FF), (0x1F300, 0x1FAFF), (0x0080, 0x009F),
 )
 #: Letters a one-byte pair may have garbled.
@@ -156,7 +156,7 @@ def proposals(text: str) -> list[tuple[str, str]]:
         return [("sure", "")]
     fixed = restore_multibyte(text)
     if fixed != text:
-        return [("sure", fixed)]
+        return [("sure", "" if LOST in fixed else fixed)]
     out = []
     for _, table in _single():
         new = text.translate(table)

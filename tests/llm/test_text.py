@@ -43,9 +43,9 @@ def words_frame(spark, forms):
 
 
 def test_restore_tokens(spark):
-    forms = ["Möhren"] * 3 + ["M÷hren", "Mˆhren", "f�r", None, "", "prÃ¼ft", "÷", "prÃ¼ft", "abc"]
+    forms = ["Möhren"] * 3 + ["M÷hren", "Mˆhren", "f�r", None, "", "prÃ¼ft", "÷", "prÃ¼ft", "abc", "Ã°Å¸â€˜ï¿½"] + ["théâtre"] * 2 + ["thÈ‚tre"]
     got = {r["tok_id"]: r["restored"] for r in mojibake.restore_tokens(words_frame(spark, forms)).collect()}
-    assert got == {3: "Möhren", 4: "Möhren", 5: "", 8: "prüft", 10: "prüft"}
+    assert got == {3: "Möhren", 4: "Möhren", 5: "", 8: "prüft", 10: "prüft", 12: "", 15: "théâtre"}
     assert mojibake.restore_tokens(words_frame(spark, forms).limit(0)).count() == 0
 
 
