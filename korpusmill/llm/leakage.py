@@ -4,8 +4,12 @@ MinHash containment search with size partitioning: documents of any length are
 partitioned into windows of 13 words, all of one size (9 shingles of five words), as are
 the test items. A window that an item and a document share has containment 1 in a set of
 its own size, so its Jaccard similarity is 1 and one MinHash row per window finds it
-without a miss, however long the document around it is. Documents with a colliding window
-are read again and verified exactly: the words of the windows themselves are joined.
+without a miss, however long the document around it is. The items' MinHash values go into a
+Bloom filter of bounded size that every worker holds. A document's windows that hit it are
+verified: first against a second such filter of the fingerprints of the items' windows,
+then exactly, by joining the words of the windows themselves. The corpus is read once and
+only windows that pass are shuffled. A filter that is too small for very many items only
+lets more windows through, never fewer.
 
 Defined results: null, empty and short texts (under 13 words) have no windows; copies of
 a document are reported each; items that share a sentence are reported each.
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusmill.llm.windows import blocks, window_minhash
+from korpusmill.llm.windows import blocks, gram_hashes, window_minhash
 
 WINDOW, SHINGLE = 13, 5
 _WORDS: dict[str, int] = {}
@@ -77,47 +81,60 @@ def _chunks(texts: list[str | None], limit: int = 2_000_000) -> Iterator[range]:
         yield range(start, len(texts))
 
 
-def _sketch(key: str):
-    """(key, minhash): distinct MinHash values of a row's windows."""
-    schema = pa.schema([(key, pa.int64()), ("minhash", pa.int64())])
+#: Bits of the filter per MinHash value, and the least and most bits it may have (8 MB at most).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 26
+PROBES = 3
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts = np.array(batch.column(0).to_pylist(), dtype=np.int64), batch.column(1).to_pylist()
-            for rows in _chunks(texts):
-                codes = [_codes(words_of(texts[i])) for i in rows]
-                for values, owner, _, starts in blocks(codes, WINDOW):
-                    low = window_minhash(values, WINDOW, SHINGLE)
-                    keep = starts[: len(low)]
-                    low, who = low[keep], owner[: len(low)][keep]
-                    change = np.ones(len(low), dtype=bool)
-                    change[1:] = (low[1:] != low[:-1]) | (who[1:] != who[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[rows[0] + who[change]]), pa.array(_signed(low[change]))], schema=schema)
 
-    return run
+def _probes(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Bit positions of 64-bit values: fields of the value itself, which is mixed already."""
+    mask = np.uint64((1 << bits) - 1)
+    return [(values >> np.uint64(shift)) & mask for shift in (0, 19, 38)]
 
 
-def _windows(key: str, filtered: bool):
-    """(key, minhash, window): the words of windows, of those with a wanted MinHash if ``filtered``."""
-    schema = pa.schema([(key, pa.int64()), ("minhash", pa.int64()), ("win", pa.string())])
+def signature_filter(values: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words) of a Bloom filter over the distinct values of a column; at most 2^26 bits reach the driver."""
+    hashes = values.toDF("h").distinct()
+    n = hashes.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n - 1).bit_length() if n else 0))
+    mask = (1 << bits) - 1
+    places = F.array(*[F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(mask)) for shift in (0, 19, 38)])
+    bit = hashes.select(F.explode(places).alias("p"))
+    words = bit.groupBy(F.shiftright("p", 5).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 AS INT)))").alias("b"))
+    table = np.zeros(1 << (bits - 5), dtype=np.uint32)
+    for row in words.toLocalIterator():
+        table[row["w"]] = row["b"]
+    return bits, table
+
+
+def _hits(values: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
+    out = np.ones(len(values), dtype=bool)
+    for place in _probes(values, bits):
+        out &= (table[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+    return out
+
+
+def _windows(key: str, shared=None):
+    """(key, minhash, mark, win): MinHash, fingerprint and words of windows, of those that pass the shared filters if there are any."""
+    schema = pa.schema([(key, pa.int64()), ("minhash", pa.int64()), ("mark", pa.int64()), ("win", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            wanted = batch.column(2).to_pylist() if filtered else None
             for rows in _chunks(texts):
                 words = [words_of(texts[i]) for i in rows]
                 for values, owner, place, starts in blocks([_codes(w) for w in words], WINDOW):
-                    low = _signed(window_minhash(values, WINDOW, SHINGLE))
-                    keep = starts[: len(low)].copy()
-                    if filtered:
-                        edges = np.flatnonzero(np.diff(owner[: len(low)])) + 1
-                        for a, b in zip([0, *edges], [*edges, len(low)]):
-                            keep[a:b] &= np.isin(low[a:b], np.array(wanted[rows[0] + owner[a]], dtype=np.int64))
+                    low = window_minhash(values, WINDOW, SHINGLE)
+                    keep = starts[: len(low)]
+                    marks = gram_hashes(values, WINDOW, 1)
+                    if shared is not None:
+                        by_minhash, by_mark = shared.value
+                        keep = keep & _hits(low, *by_minhash)
+                        keep[keep] = _hits(marks[keep], *by_mark)
                     at = np.flatnonzero(keep)
                     who, pos = owner[at].tolist(), place[at].tolist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([keys[rows[0] + i] for i in who], pa.int64()), pa.array(low[at]), pa.array([" ".join(words[i][p : p + WINDOW]) for i, p in zip(who, pos)], pa.string())],
+                        [pa.array([keys[rows[0] + i] for i in who], pa.int64()), pa.array(_signed(low[at])), pa.array(_signed(marks[at])), pa.array([" ".join(words[i][p : p + WINDOW]) for i, p in zip(who, pos)], pa.string())],
                         schema=schema,
                     )
 
@@ -128,13 +145,11 @@ def leak_windows(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, win): every shared window of 13 words of a document and an item, verified."""
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
     tests = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
-    of_items = tests.mapInArrow(_windows("item_id", False), "item_id bigint, minhash bigint, win string")
-    signatures = of_items.select("minhash").distinct()
-    candidates = docs.mapInArrow(_sketch("doc_id"), "doc_id bigint, minhash bigint").join(signatures, "minhash", "left_semi")
-    per_doc = candidates.groupBy("doc_id").agg(F.collect_set("minhash").alias("wanted"))
-    read = docs.join(per_doc, "doc_id").select("doc_id", "text", "wanted")
-    of_docs = read.mapInArrow(_windows("doc_id", True), "doc_id bigint, minhash bigint, win string").select("doc_id", "win").distinct()
-    return of_docs.join(of_items.select("item_id", "win").distinct(), "win").select("doc_id", "item_id", "win")
+    of_items = tests.mapInArrow(_windows("item_id"), "item_id bigint, minhash bigint, mark bigint, win string")
+    shared = documents.sparkSession.sparkContext.broadcast(tuple(signature_filter(of_items.select(c)) for c in ("minhash", "mark")))
+    of_docs = docs.mapInArrow(_windows("doc_id", shared), "doc_id bigint, minhash bigint, mark bigint, win string").select("doc_id", "win").distinct()
+    # the planner takes the windows to be as small as the texts they come from; merge, never broadcast them
+    return of_docs.join(of_items.select("item_id", "win").distinct().hint("merge"), "win").select("doc_id", "item_id", "win")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -146,5 +161,5 @@ def leak_containment(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shared, n_windows, containment): share of the item's windows found."""
     shared = leak_windows(documents, items).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
     tests = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
-    sizes = tests.mapInArrow(_windows("item_id", False), "item_id bigint, minhash bigint, win string").groupBy("item_id").agg(F.count_distinct("win").alias("n_windows"))
+    sizes = tests.mapInArrow(_windows("item_id"), "item_id bigint, minhash bigint, mark bigint, win string").groupBy("item_id").agg(F.count_distinct("win").alias("n_windows"))
     return shared.join(sizes, "item_id").select("doc_id", "item_id", "n_shared", "n_windows", F.round(F.col("n_shared") / F.col("n_windows"), 6).alias("containment"))
