@@ -53,14 +53,14 @@ def _labels(votes: DataFrame) -> list[str]:
     return found
 
 
-def _posteriors(cast: DataFrame, params: DataFrame, prior: DataFrame, labels: list[str]) -> DataFrame:
+def _posteriors(cast: DataFrame, params: DataFrame, labels: list[str]) -> DataFrame:
     """Votes with the posterior of each label of their pattern (columns p0, p1, ...)."""
-    rows = cast.join(params, "annotator").crossJoin(F.broadcast(prior))  # prior is one row
+    rows = cast.join(params, "annotator")
     guess = F.try_element_at("guess", F.col("label"))
     likelihood = lambda t: F.ln(F.when(F.col("label") == t, F.col("theta") + (1 - F.col("theta")) * guess).otherwise((1 - F.col("theta")) * guess))
     w = W.partitionBy("pattern")
     for i, t in enumerate(labels):
-        rows = rows.withColumn(f"s{i}", F.sum(likelihood(t)).over(w) + F.ln(F.col("prior").getItem(t)))
+        rows = rows.withColumn(f"s{i}", F.sum(likelihood(t)).over(w) + F.ln(F.try_element_at("prior", F.lit(t))))
     top = F.greatest(*[F.col(f"s{i}") for i in range(len(labels))]) if len(labels) > 1 else F.col("s0")
     rows = rows.withColumns({f"e{i}": F.exp(F.col(f"s{i}") - top) for i in range(len(labels))})
     total = sum((F.col(f"e{i}") for i in range(1, len(labels))), F.col("e0"))
@@ -75,21 +75,27 @@ def _of_label(labels: list[str]):
 
 
 def _maximise(rows: DataFrame, labels: list[str]) -> DataFrame:
-    """New (annotator, theta, guess) from votes with own-label posterior and guess probability."""
-    own = _of_label(labels)
-    truth_share = F.col("theta") / (F.col("theta") + (1 - F.col("theta")) * F.col("guess_own"))
-    truthful = own * truth_share
-    per = rows.groupBy("annotator", "label").agg(F.sum(F.col("n") * truthful).alias("truth"), F.sum(F.col("n") * (1 - truthful)).alias("spam"))
-    merged = per.groupBy("annotator").agg(F.sum("truth").alias("truth"), F.sum("spam").alias("spam"), F.map_from_entries(F.collect_list(F.struct("label", "spam"))).alias("by"))
-    spam_of = lambda t: F.coalesce(F.col("by").getItem(t), F.lit(0.0))
-    guesses = F.map_from_arrays(F.array(*map(F.lit, labels)), F.array(*[(spam_of(t) + SMOOTH_GUESS) / (F.col("spam") + SMOOTH_GUESS * len(labels)) for t in labels]))
-    return merged.select("annotator", ((F.col("truth") + SMOOTH_TRUTH) / (F.col("truth") + F.col("spam") + 2 * SMOOTH_TRUTH)).alias("theta"), guesses.alias("guess"))
-
+    """(annotator, theta, guess, prior) of the next round from one pass over the votes.
 
-def _new_prior(rows: DataFrame, labels: list[str]) -> DataFrame:
-    one = rows.groupBy("pattern").agg(F.first("n").alias("n"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(len(labels))])
-    sums = one.agg(F.sum("n").alias("all"), *[F.sum(F.col("n") * F.col(f"p{i}")).alias(f"p{i}") for i in range(len(labels))])
-    return sums.select(F.map_from_arrays(F.array(*map(F.lit, labels)), F.array(*[(F.col(f"p{i}") + 1.0) / (F.col("all") + len(labels)) for i in range(len(labels))])).alias("prior"))
+    A pattern's posterior counts towards the prior in equal parts through its k votes, so
+    the sums per annotator and label hold the prior as well; what is left to sum up after
+    that is one row per annotator.
+    """
+    own = _of_label(labels)
+    truthful = own * F.col("theta") / (F.col("theta") + (1 - F.col("theta")) * F.col("guess_own"))
+    mass = [F.sum(F.col("n") * F.col(f"p{i}") / F.col("k")).alias(f"q{i}") for i in range(len(labels))]
+    per = rows.groupBy("annotator", "label").agg(F.sum(F.col("n") * truthful).alias("truth"), F.sum(F.col("n") * (1 - truthful)).alias("spam"), *mass)
+    merged = per.groupBy("annotator").agg(
+        F.sum("truth").alias("truth"), F.sum("spam").alias("spam"), F.map_from_entries(F.collect_list(F.struct("label", "spam"))).alias("by"), *[F.sum(f"q{i}").alias(f"q{i}") for i in range(len(labels))]
+    )
+    total = merged.agg(*[F.sum(f"q{i}").alias(f"t{i}") for i in range(len(labels))])
+    names = F.array(*map(F.lit, labels))
+    spam_of = lambda t: F.coalesce(F.try_element_at("by", F.lit(t)), F.lit(0.0))
+    guesses = F.map_from_arrays(names, F.array(*[(spam_of(t) + SMOOTH_GUESS) / (F.col("spam") + SMOOTH_GUESS * len(labels)) for t in labels]))
+    all_mass = sum((F.col(f"t{i}") for i in range(1, len(labels))), F.col("t0"))
+    prior = F.map_from_arrays(names, F.array(*[(F.col(f"t{i}") + 1.0) / (all_mass + len(labels)) for i in range(len(labels))]))
+    theta = (F.col("truth") + SMOOTH_TRUTH) / (F.col("truth") + F.col("spam") + 2 * SMOOTH_TRUTH)
+    return merged.crossJoin(F.broadcast(total)).select("annotator", theta.alias("theta"), guesses.alias("guess"), prior.alias("prior"))  # total is one row
 
 
 class Consensus:
@@ -103,18 +109,12 @@ class Consensus:
             self.annotators = votes.select("annotator", F.lit(0.0).alias("competence"), F.lit(None).cast("map<string,double>").alias("guess")).limit(0)
             return
         grouped = self.patterns.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).withColumn("pattern", F.xxhash64("votes"))
-        cast = checkpoint(grouped.select("pattern", "n", F.inline("votes")).repartition("pattern"))
-        spark = votes.sparkSession
-        k = len(self.labels)
-        even = {t: 1.0 / k for t in self.labels}
-        prior = spark.range(1).select(F.create_map(*[x for t in self.labels for x in (F.lit(t), F.lit(even[t]))]).alias("prior"))
-        params = cast.select("annotator").distinct().select("annotator", F.lit(0.6).alias("theta"), F.create_map(*[x for t in self.labels for x in (F.lit(t), F.lit(even[t]))]).alias("guess"))
+        cast = checkpoint(grouped.select("pattern", "n", F.size("votes").alias("k"), F.inline("votes")).repartition("pattern"))
+        even = F.create_map(*[x for t in self.labels for x in (F.lit(t), F.lit(1.0 / len(self.labels)))])
+        params = cast.select("annotator").distinct().select("annotator", F.lit(0.6).alias("theta"), even.alias("guess"), even.alias("prior"))
         for _ in range(iterations):
-            rows = _posteriors(cast, params, prior, self.labels)
-            together = checkpoint(_maximise(rows, self.labels).crossJoin(F.broadcast(_new_prior(rows, self.labels))))
-            params = together.select("annotator", "theta", "guess")
-            prior = together.select("prior").limit(1)
-        final = _posteriors(cast, params, prior, self.labels)
+            params = checkpoint(_maximise(_posteriors(cast, params, self.labels), self.labels))
+        final = _posteriors(cast, params, self.labels)
         best = F.array_max(F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.lit(-i).alias("o"), F.lit(t).alias("label")) for i, t in enumerate(self.labels)]))
         verdict = final.groupBy("pattern").agg(F.first(best).alias("b"))
         total = F.size("votes")
