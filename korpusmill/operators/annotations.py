@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from korpusmill.operators.packed import span_numbers
+from korpusmill.operators.scans import prefix_sums
 
 LEVELS = ("sentiment", "target", "source", "emo-expression", "intensifier", "diminisher", "negation")
 
@@ -43,8 +44,8 @@ def markable_words(markables: DataFrame) -> DataFrame:
 
 def message_of_word(words: DataFrame) -> DataFrame:
     """(file_name, word_id, form, msg_no): messages end with the word EOL."""
-    w = W.partitionBy("file_name").orderBy("word_id").rowsBetween(W.unboundedPreceding, -1)
-    return words.withColumn("msg_no", F.coalesce(F.sum((F.col("form") == "EOL").cast("int")).over(w), F.lit(0))).where("form <> 'EOL'")
+    ends = F.coalesce((F.col("form") == "EOL").cast("int"), F.lit(0))
+    return prefix_sums(words, ["file_name"], ["word_id"], {"msg_no": ends}, inclusive=False).where("form <> 'EOL'")
 
 
 def level_flags(marks: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from korpusmill.operators.scans import prefix_sums
+
 ESC = "\x1b"
 #: Bare feature values and the feature they are values of (fixed values).
 VALUE_OF = {
@@ -64,14 +67,13 @@ def sentence_numbers(lines: DataFrame) -> DataFrame:
     """(line_id, file_name, line_no, msg_no, sent_no): message and sentence of each token line of a file.
 
     A message starts at an ``id`` metadata line, a sentence at a blank or metadata line.
-    The running sums go per file; a file is the unit that its order is defined in.
+    The running sums go per file, and a large file may spread over many tasks.
     """
-    w = W.partitionBy("file_name").orderBy("line_no", "line_id")
     text = F.rtrim(F.regexp_replace("line_text", r"[\r ]+$", ""))
     is_id = F.col("line_text").startswith(ESC + "\tid\t").cast("int")
     is_break = (F.col("line_text").startswith(ESC) | (text == "")).cast("int")
     marked = lines.where(F.col("line_text").isNotNull()).select("line_id", "file_name", "line_no", "line_text", is_id.alias("is_id"), is_break.alias("is_break"))
-    numbered = marked.withColumn("msg_no", F.sum("is_id").over(w)).withColumn("block", F.sum("is_break").over(w))
+    numbered = prefix_sums(marked, ["file_name"], ["line_no", "line_id"], {"msg_no": F.col("is_id"), "block": F.col("is_break")})
     tokens = numbered.where("is_break = 0")
     return tokens.withColumn("sent_no", F.dense_rank().over(W.partitionBy("file_name", "msg_no").orderBy("block")) - 1).select("line_id", "file_name", "line_no", "msg_no", "sent_no")
 
@@ -93,6 +95,35 @@ def children(tokens: DataFrame, head: str = "phead") -> DataFrame:
     return tokens.where(F.col(head) > 0).groupBy("doc_id", "sent_id", F.col(head).alias("idx")).agg(F.array_sort(F.collect_list(kid)).alias("kids"))
 
 
+def tree_depths(tokens: DataFrame, head: str = "phead") -> DataFrame:
+    """(doc_id, sent_id, idx, depth): distance from the root, leaves-first order is by falling depth.
+
+    A token whose head is missing is a root; a token on or below a loop has a null depth.
+    """
+    rows = tokens.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce(head, F.lit(0)).alias("h")))).alias("ts"))
+
+    @F.pandas_udf("array<int>")
+    def depths(s: pd.Series) -> pd.Series:
+        def run(ts):
+            heads = {t["idx"]: t["h"] for t in ts}
+            known: dict[int, int | None] = {}
+            for start in heads:
+                path, at = [], start
+                while at in heads and at not in known and at not in path:
+                    path.append(at)
+                    at = heads[at]
+                base = known.get(at) if at in known else None if at in path else -1
+                for node in reversed(path):
+                    base = None if base is None else base + 1
+                    known[node] = base
+            return [known[t["idx"]] for t in ts]
+
+        return s.map(run)
+
+    zipped = rows.select("doc_id", "sent_id", F.explode(F.arrays_zip(F.col("ts").alias("t"), depths("ts").alias("d"))).alias("x"))
+    return zipped.select("doc_id", "sent_id", F.col("x.t.idx").alias("idx"), F.col("x.d").alias("depth"))
+
+
 def tree_dot(tokens: DataFrame, head: str = "phead") -> DataFrame:
     """(doc_id, sent_id, dot): the dependency tree of a sentence as graph description."""
     quote = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))

@@ -80,12 +80,12 @@ def lengthened_stat(words: DataFrame, order: list[str], word: str = "word", shar
 
     A word counts if its key has at least two characters and the word is lengthened or
     its key was met before (``order`` gives the sequence): the first lengthened position
-    of a key decides, which is one aggregate per key instead of a running scan.
+    of a key decides, which is one aggregate over the lengthened words instead of a running scan.
     """
     keyed = words.select(*order, F.lower(F.col(word)).alias("word")).withColumn("key", squeeze_runs(F.col("word"))).where(F.length("key") > 1)
     place = F.struct(*order)
-    first = F.min(F.when(F.col("key") != F.col("word"), place)).over(W.partitionBy("key"))
-    counted = keyed.withColumn("first", first).where(place >= F.col("first")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("cnt"))
+    first = keyed.where(F.col("key") != F.col("word")).groupBy("key").agg(F.min(place).alias("first"))
+    counted = keyed.join(first, "key").where(place >= F.col("first")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("cnt"))
     by_key = W.partitionBy("key")
     probs = counted.withColumn("prob", F.col("cnt") / F.sum("cnt").over(by_key)).withColumn("n_forms", F.count(F.lit(1)).over(by_key)).withColumn("top", F.max("prob").over(by_key))
     return probs.where((F.col("n_forms") >= 2) & (F.col("prob") > F.col("top") * share)).select("key", "word", "cnt", "prob")

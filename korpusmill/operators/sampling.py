@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from korpusmill.operators.scans import ranked
+
 #: Word separators of the message quality filter.
 QUALITY_SPLIT = r"[-\]\s:;,.?!(){}\[]+"
 #: Function words of which a message must hold one (fixed values).
@@ -13,28 +15,9 @@ FUNCTION_WORDS = ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "zu
 
 
 def percentage_range(rows: DataFrame, order: list[str], start: int, end: int, by: list[str] | None = None) -> DataFrame:
-    """Rows [start n / 100, end n / 100) of the sorted rows, by integer division.
-
-    Without ``by`` the ranking is global: the row numbers come from sorted partitions plus
-    the sizes of the partitions before them, so no task sees all rows.
-    """
-    if by:
-        w = W.partitionBy(*by)
-        ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    else:
-        ranked = global_rank(rows, order, "_i")
+    """Rows [start n / 100, end n / 100) of the sorted rows, by integer division; groups may be of any size."""
     n, i = F.col("_n"), F.col("_i")
-    return ranked.where((i >= F.floor(n * start / 100)) & (i < F.floor(n * end / 100))).drop("_i", "_n")
-
-
-def global_rank(rows: DataFrame, order: list[str], name: str = "rank0") -> DataFrame:
-    """Zero-based global rank ``name`` and total ``_n`` without a single-partition window."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = placed.withColumn("_l", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.withColumn("_b", F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))).withColumn("_n", F.sum("_c").over(W.partitionBy(F.lit(1))))
-    joined = local.join(F.broadcast(before.select("_p", F.coalesce("_b", F.lit(0)).alias("_b"), "_n")), "_p")  # one row per partition
-    return joined.withColumn(name, F.col("_b") + F.col("_l") - 1).drop("_p", "_l", "_b")
+    return ranked(rows, by or [], order, "_i", "_n").where((i >= F.floor(n * start / 100)) & (i < F.floor(n * end / 100))).drop("_i", "_n")
 
 
 def split_name(i, n):
@@ -43,8 +26,7 @@ def split_name(i, n):
 
 
 def split_70_10_20(rows: DataFrame, order: list[str]) -> DataFrame:
-    ranked = global_rank(rows, order, "_i")
-    return ranked.withColumn("split", split_name(F.col("_i"), F.col("_n"))).drop("_i", "_n")
+    return ranked(rows, [], order, "_i", "_n").withColumn("split", split_name(F.col("_i"), F.col("_n"))).drop("_i", "_n")
 
 
 def is_good_message(text):
@@ -93,19 +75,29 @@ def stratified_sample(rows: DataFrame, group: str, key: str, total: int, max_gro
     wanted = quotas(sizes, total)
     quota = F.create_map(*[x for g, q in wanted.items() for x in (F.lit(g), F.lit(q))]) if wanted else F.create_map().cast("map<string,int>")
     w = W.partitionBy(group).orderBy(F.md5(F.col(key).cast("string")), key)
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.try_element_at(quota, F.col(group))).drop("_r")
+    most = max(wanted.values(), default=0)  # a literal bound lets every task keep only its best rows before the shuffle
+    best = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return best.where(F.col("_r") <= F.try_element_at(quota, F.col(group))).drop("_r")
 
 
-def balance_classes(rows: DataFrame, klass: str, key: str, max_classes: int = 1000) -> DataFrame:
+def balance_classes(rows: DataFrame, klass: str, key: str) -> DataFrame:
     """Rows of smaller classes repeated until every class is as large as the largest."""
-    sizes = rows.groupBy(klass).agg(F.count(F.lit(1)).alias("_n"))
-    top = sizes.agg(F.max("_n").alias("_m"))
-    rate = sizes.crossJoin(F.broadcast(top))
-    joined = rows.join(F.broadcast(rate), klass)  # one row per class
-    w = W.partitionBy(klass).orderBy(F.md5(F.col(key).cast("string")), key)
-    ranked = joined.withColumn("_r", F.row_number().over(w))
-    times = F.floor(F.col("_m") / F.col("_n")) + F.when(F.col("_r") <= F.col("_m") % F.col("_n"), 1).otherwise(0)
-    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_n", "_m", "_r")
+    top = rows.groupBy(klass).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_m"))
+    placed = ranked(rows.withColumn("_h", F.md5(F.col(key).cast("string"))), [klass], ["_h", key], "_r", "_n")
+    joined = placed.crossJoin(F.broadcast(top))  # one row
+    times = F.floor(F.col("_m") / F.col("_n")) + F.when(F.col("_r") < F.col("_m") % F.col("_n"), 1).otherwise(0)
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_n", "_m", "_r", "_h")
+
+
+def holdout(rows: DataFrame, key: str, percent: int = 10, seed: str = "0") -> DataFrame:
+    """``part``: dev for about ``percent`` per cent of the keys by seeded hash, train for the others; no shuffle."""
+    share = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(100))
+    return rows.withColumn("part", F.when(share < percent, "dev").otherwise("train"))
+
+
+def half_resample(rows: DataFrame, key: str, turn: int) -> DataFrame:
+    """Another half of the rows in each turn, by seeded hash."""
+    return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(turn)), F.lit(2)) == 0)
 
 
 def time_bounds(rows: DataFrame, time: str) -> DataFrame:

@@ -303,3 +303,40 @@ def crf_lines(spark, d):
     tokens = _tokens(spark, d)
     tags = tokens.select("doc_id", "sent_id", "idx", F.coalesce(F.nullif("sentiment", F.lit("_")), F.lit("O")).alias("tag"))
     return features.crf_lines(features.template_features(tokens), tags)
+
+
+@R.add(
+    f"""with recursive {TOK}, ok as (select * from tok where phead is not null), d as (select t.doc_id, t.sent_id, t.idx, 0 as depth from ok t left join ok h on h.doc_id = t.doc_id and h.sent_id = t.sent_id and h.idx = t.phead where h.idx is null
+ union all select t.doc_id, t.sent_id, t.idx, d.depth + 1 from ok t join d on t.doc_id = d.doc_id and t.sent_id = d.sent_id and t.phead = d.idx) select ok.doc_id, ok.sent_id, ok.idx, d.depth::int as depth from ok left join d using (doc_id, sent_id, idx)"""
+)
+def tree_depths(spark, d):
+    return conll.tree_depths(_tokens(spark, d).where("phead is not null"))
+
+
+@R.add(f"with {SCORED}, s as (select doc_id, sent_id, round(coalesce(sum(score), 0), 6) as score from sc group by 1, 2), p as (select *, case when score > 0 then 'pos' when score < 0 then 'neg' else 'neut' end as line from s) select doc_id, sent_id, line from p where regexp_matches(line, 'pos|neg')")
+def sentiment_lines(spark, d):
+    rows = lexicon.sentence_polarity(_tokens(spark, d), _lexicon(spark), ["doc_id", "sent_id"])
+    return rows.select("doc_id", "sent_id", lexicon.polarity_class(F.round("score", 6)).alias("line")).where(F.col("line").rlike("pos|neg"))
+
+
+@R.add(f"""with {TOK} select tok_id, 'Tag("W_' || sent_id || '_' || idx || '", ' || case pos when '$.' then 'TPUNCT' when '$,' then 'TCOMMA' when '$(' then 'TBRACE' else coalesce(pos, '_') end || ').' as atom from tok""")
+def evidence_atoms(spark, d):
+    tokens = _tokens(spark, d)
+    evidence, _ = features.split_evidence(features.logic_atoms(tokens), ["Connector"])
+    rows = evidence.where(F.col("atom").startswith("Tag("))
+    return rows.join(tokens.select("doc_id", "sent_id", "idx", "tok_id"), ["doc_id", "sent_id", "idx"]).select("tok_id", "atom")
+
+
+@R.add(f"with {TOK} select doc_id, sent_id, idx, form, coalesce(lemma, '_') as lemma, coalesce(pos, '_') as pos, '_' as feat, -1 as head from tok")
+def tagged_to_conll(spark, d):
+    from korpusmill.operators.tokens import tagged_to_conll as convert
+
+    return convert(_tokens(spark, d).withColumn("tag", F.col("pos"))).select("doc_id", "sent_id", "idx", "form", "lemma", "pos", "feat", "head")
+
+
+@R.add("select file_name, line_id, split_part(line_text, chr(9), 1) as idx, split_part(line_text, chr(9), 2) as form from conll_lines where len(string_split(line_text, chr(9))) = 14 and line_text not like '%\"%' and not starts_with(line_text, chr(27)) and regexp_full_match(split_part(line_text, chr(9), 1), '[1-9][0-9]*')")
+def scan_token_lines(spark, d):
+    rows = table(spark, d, "conll_lines")
+    parts = F.split("line_text", "\t")
+    plain = rows.where((F.size(parts) == 14) & ~F.col("line_text").contains('"') & ~F.col("line_text").startswith(conll.ESC) & parts[0].rlike("^[1-9][0-9]*$"))
+    return plain.select("file_name", "line_id", parts[0].alias("idx"), parts[1].alias("form"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from korpusmill.functions.text import is_xml_tag, squeeze_space
 from korpusmill.operators.lexicon import read_lexicon
 from korpusmill.operators.packed import span_numbers
+from korpusmill.operators.scans import ranked
 
 TWEET = T.StructType([T.StructField(n, t) for n, t in (("id", T.LongType()), ("id_str", T.StringType()), ("created_at", T.StringType()), ("text", T.StringType()), ("lang", T.StringType()), ("in_reply_to_status_id", T.LongType()))])
 #: Values that mean a missing one in the text formats (fixed values).
@@ -128,11 +129,9 @@ def number_words(lines: DataFrame) -> DataFrame:
 
 def parts_of_corpus(messages: DataFrame, per_part: int = 99, group: str = "category", sub: str = "subcorpus", key: str = "id") -> DataFrame:
     """``part``: every subcorpus in parts of ``per_part`` messages, each proportional to its groups."""
-    w = W.partitionBy(sub, group)
-    n_sub = F.count(F.lit(1)).over(W.partitionBy(sub))
-    n_parts = F.ceil(n_sub / per_part)
-    rank = F.row_number().over(w.orderBy(key)) - 1
-    return messages.withColumn("part", (F.floor(rank * n_parts / F.count(F.lit(1)).over(w)) + 1).cast("int"))
+    sizes = messages.groupBy(F.col(sub).alias("_s")).agg(F.ceil(F.count(F.lit(1)) / per_part).alias("_parts"))
+    placed = ranked(messages, [sub, group], [key], "_i", "_n").join(sizes, F.col(sub).eqNullSafe(F.col("_s")))
+    return placed.withColumn("part", (F.floor(F.col("_i") * F.col("_parts") / F.col("_n")) + 1).cast("int")).drop("_i", "_n", "_s", "_parts")
 
 
 def drop_subcorpus(messages: DataFrame, name: str, sub: str = "subcorpus") -> DataFrame:

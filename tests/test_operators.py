@@ -305,3 +305,24 @@ def test_balance_and_split(spark):
     rows = spark.createDataFrame([(i, "a" if i < 7 else "b") for i in range(10)], "id int, k string")
     assert {r["k"]: r["count"] for r in sampling.balance_classes(rows, "k", "id").groupBy("k").count().collect()} == {"a": 7, "b": 7}
     assert {r["split"]: r["count"] for r in sampling.split_70_10_20(rows, ["id"]).groupBy("split").count().collect()} == {"train": 7, "dev": 1, "test": 2}
+
+
+def test_prefix_sums_of_a_hot_group(spark):
+    from korpusmill.operators.scans import prefix_sums, ranked
+
+    rows = [("hot", i, i % 3) for i in range(500)] + [("b", 5, 1), (None, 7, 2), ("c", 1, 0)]
+    df = spark.createDataFrame(rows, "g string, i int, v int").repartition(7)
+    got = {(r["g"], r["i"]): (r["s"], r["s_total"]) for r in prefix_sums(df, ["g"], ["i"], {"s": F.col("v")}, totals=True).collect()}
+    want, run = {}, {}
+    for g, i, v in rows:
+        run[g] = run.get(g, 0) + v
+        want[g, i] = run[g]
+    assert got == {k: (v, run[k[0]]) for k, v in want.items()}
+    assert sorted(r["rank0"] for r in ranked(df, [], ["i", "g"]).collect()) == list(range(len(rows)))
+
+
+def test_holdout_and_halves(spark):
+    rows = spark.range(2000)
+    assert 120 < sampling.holdout(rows, "id").where("part = 'dev'").count() < 280
+    first, second = sampling.half_resample(rows, "id", 0), sampling.half_resample(rows, "id", 1)
+    assert 850 < first.count() < 1150 and not first.exceptAll(second).isEmpty()
