@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,12 +25,12 @@ def null_if_empty(c):
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, line_no, line): lines of text files without white space at their end.
 
-    A file is read whole by one task as its line numbers need its order; files are the unit
-    of parallelism, as in a corpus of many small files.
+    Large files are read in blocks by many tasks; a line's number is its rank by block and
+    place in the block within its file.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n").alias("ls"))
-    rows = files.select("file", F.posexplode("ls").alias("p", "line"), F.size("ls").alias("n")).where(~((F.col("p") == F.col("n") - 1) & (F.col("line") == "")))
-    return rows.select("file", (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", r"\s+$", "").alias("line"))
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    numbered = ranked(rows, ["file"], ["_block", "_at"], "_i", "_n")
+    return numbered.select("file", (F.col("_i") + 1).cast("int").alias("line_no"), F.regexp_replace("value", r"\s+$", "").alias("line"))
 
 
 def mark_skipped(lines: DataFrame, skip_line: str | None = None, skip_xml: bool = False) -> DataFrame:
@@ -124,7 +123,7 @@ def read_connective_lexicon(spark: SparkSession, path: str) -> DataFrame:
 def number_words(lines: DataFrame) -> DataFrame:
     """(file, word_id, form): lines that are no tags, numbered per file."""
     rows = lines.where(~is_xml_tag(F.col("line")) & (F.col("line") != ""))
-    return rows.select("file", F.row_number().over(W.partitionBy("file").orderBy("line_no")).alias("word_id"), F.col("line").alias("form"))
+    return ranked(rows, ["file"], ["line_no"], "_i", "_n").select("file", (F.col("_i") + 1).cast("int").alias("word_id"), F.col("line").alias("form"))
 
 
 def parts_of_corpus(messages: DataFrame, per_part: int = 99, group: str = "category", sub: str = "subcorpus", key: str = "id") -> DataFrame:

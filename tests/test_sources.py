@@ -15,6 +15,17 @@ def test_lines(spark, tmp_path):
     assert [(r["line_no"], r["line"], r["skipped"]) for r in rows] == [(1, "eins", False), (2, '<tag x="1">', True), (3, "", False), (4, "zwei", True)]
 
 
+def test_lines_of_a_large_file(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("\n".join(f"line {i}" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        rows = readers.read_lines(spark, str(tmp_path / "big.txt"))
+        assert rows.where("line <> concat('line ', line_no - 1)").count() == 0 and rows.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_json(spark, tmp_path):
     rows = [{"id": 1, "created_at": "t", "text": " a  b\n", "lang": "de"}, {"id": 2, "text": "x", "lang": "de"}, {"id_str": "3", "created_at": "t", "text": "y", "lang": "en"}]
     (tmp_path / "m.json").write_text("\n".join(map(json.dumps, rows)))
