@@ -75,4 +75,26 @@ _ALL = (
     p9_found, p9_containment, p10_found, p10_clusters,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+#: Words of problem 9 and their runs of 13 as text.
+_WORDS = r"regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\p{Cf}\x{34F}\x{FE00}-\x{FE0F}]', '', 'g'))), '[\p{L}\p{N}]+')"
+_GRAMS = f"""d as (select doc_id, {_WORDS} as ws from documents where text is not null), i as (select item_id, {_WORDS} as ws from eval_items where text is not null),
+dg as (select distinct doc_id, array_to_string(ws[k:k + 12], ' ') as g from (select *, unnest(range(1, len(ws) - 11)) as k from d where len(ws) >= 13)),
+ig as (select distinct item_id, array_to_string(ws[k:k + 12], ' ') as g from (select *, unnest(range(1, len(ws) - 11)) as k from i where len(ws) >= 13))"""
+#: Distinct votes of problem 7, spans as sorted word lists.
+_VOTES = r"""w as (select file_name, annotator, markable_id, attrs['polarity'] as label, list_sort(list_distinct(list_filter(flatten(list_transform(regexp_extract_all(regexp_replace(span, '\s*\.{2,}\s*', '..', 'g'), '[^"|;,/\t ]+'),
+ lambda p: case when p like '%..%' then range(cast(regexp_extract(p, '^(?:word_)?(\d+)', 1) as int), cast(regexp_extract(p, '(\d+)$', 1) as int) + 1) else [try_cast(regexp_extract(p, '^word_(\d+)$', 1) as bigint)] end)), lambda x: x is not null))) as words
+ from markables where anno_level = 'sentiment' and span is not null and span not in ('', '_', 'empty')),
+per as (select file_name, words, annotator, label, count(*) as n from (select distinct * from w where annotator is not null and label is not null and len(words) > 0) group by all),
+v as (select file_name, words, annotator, arg_min(label, (-n, label)) as label from per group by 1, 2, 3)"""
+
+ORACLES: dict[str, str] = {
+    "p9_found": f"with {_GRAMS} select distinct doc_id, item_id from dg join ig using (g)",
+    "p9_containment": f"with {_GRAMS}, n as (select item_id, count(*) as n_windows from ig group by 1) select doc_id, item_id, count(*) as n_shared, any_value(n_windows) as n_windows, round(count(*) / any_value(n_windows), 6) as containment from dg join ig using (g) join n using (item_id) group by 1, 2",
+    "p10_found": """with w as (select doc_id, pos, text[pos:pos + 119] as s from (select doc_id, text, unnest(range(1, length(text) - 118)) as pos from documents where length(text) >= 120)),
+ sh as (select s from w group by 1 having min(doc_id) < max(doc_id)), c as (select doc_id, pos, lag(pos) over (partition by doc_id order by pos) as before from w semi join sh using (s))
+ select doc_id, sum(least(120, pos - coalesce(before, pos - 120)))::bigint as shared_chars from c group by 1""",
+    "p7_agreement": f"""with {_VOTES}, m as (select file_name, words, count(*) as m from v group by 1, 2 having count(*) >= 2), c as (select file_name, words, label, count(*) as c from v semi join m using (file_name, words) group by 1, 2, 3),
+ i as (select file_name, words, sum(c) as m, sum(c * c) as sq from c group by 1, 2), p as (select sum(m) as n, count(*) as n_items, sum((m * m - sq) / (m - 1)) as differ from i), e as (select sum(k * k) as sq from (select label, sum(c) as k from c group by 1))
+ select n_items, n::bigint as n_votes, round(1 - (n - 1) * differ / (n * n - sq), 6) as alpha from p, e""",
+    "p8_roundtrip": "select count(*) as n_docs, count(*) as n_same from documents",
+}
