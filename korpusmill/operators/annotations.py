@@ -54,6 +54,29 @@ def level_flags(marks: DataFrame) -> DataFrame:
     return marks.groupBy("file_name", "annotator", "word_id").agg(flag("target").alias("is_target"), flag("source").alias("is_source"), flag("sentiment").alias("is_sentiment"), flag("emo-expression").alias("is_emo"))
 
 
+def emo_inside(flags: DataFrame) -> DataFrame:
+    """``has_emo``: whether the sentiment span a word lies in holds an emotional expression.
+
+    A span is a run of consecutive sentiment words of an annotator; every word of it gets
+    the flag, also those before the expression.
+    """
+    w = W.partitionBy("file_name", "annotator").orderBy("word_id")
+    sent = flags.where("is_sentiment").withColumn("_new", F.when(F.col("word_id") - F.lag("word_id").over(w) == 1, 0).otherwise(1))
+    runs = prefix_sums(sent, ["file_name", "annotator"], ["word_id"], {"span_no": F.col("_new")})
+    has = runs.groupBy("file_name", "annotator", "span_no").agg(F.bool_or("is_emo").alias("has_emo"))
+    return runs.join(has, ["file_name", "annotator", "span_no"]).select("file_name", "annotator", "word_id", "span_no", "has_emo")
+
+
+def annotation_atoms(marks: DataFrame, prefix: str = "W") -> DataFrame:
+    """(file_name, annotator, atom): isLevel(word) and hasLevelAttribute(word, VALUE) ground atoms, each once."""
+    name = lambda c: F.regexp_replace(F.initcap(F.regexp_replace(c, r"[^A-Za-z]+", " ")), " ", "")
+    word = F.concat(F.lit(f'"{prefix}_'), F.col("word_id").cast("string"), F.lit('"'))
+    level = name(F.col("level"))
+    is_ = F.array(F.concat(F.lit("is"), level, F.lit("("), word, F.lit(")")))
+    has = F.transform(F.map_entries(F.coalesce("attrs", F.create_map().cast("map<string,string>"))), lambda e: F.concat(F.lit("has"), level, name(e["key"]), F.lit("("), word, F.lit(", "), F.upper(e["value"]), F.lit(")")))
+    return marks.select("file_name", "annotator", F.explode(F.concat(is_, has)).alias("atom")).distinct()
+
+
 def dangling_levels(marks: DataFrame) -> DataFrame:
     """Marks against the guideline: sources and targets in a file without any sentiment of the annotator."""
     has = marks.where("level = 'sentiment'").select("file_name", "annotator").distinct()

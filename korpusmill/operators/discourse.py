@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusmill.operators.grammar import CHUNKS, Node, clauses_of, flatten
+from korpusmill.operators.grammar import CHUNKS, Node, clauses_of
 
 #: Verbs of saying: their complement is no unit of its own (our own list; callers bring theirs).
 REPORTING_VERBS = frozenset("sagen meinen schreiben behaupten melden fragen berichten erklären betonen mitteilen ankündigen antworten finden glauben".split())
@@ -292,6 +292,34 @@ def rst_nodes(offsets: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("doc_id", (F.col("p") + 1).alias("nid"), F.substring("text", F.col("o.a") + 1, F.col("o.b") - F.col("o.a")).alias("text"))
 
 
+def source_texts(texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text) with each id once; a second row of an id raises."""
+    rows = texts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("text").alias("text"))
+    return rows.withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate id "), F.col(key).cast("string")))).otherwise(F.lit(True))).where("_ok").select(key, "text")
+
+
+def unit_layers(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stand-off layers: (doc_id, layer, mark_id, sent_id, first_idx, last_idx) and (doc_id, mark_id, feature, value).
+
+    The parent of an embedded unit is the unit it lies in; sentences are the outer layer.
+    """
+    mark = lambda kind, number: F.concat(F.lit(f"{kind}_"), F.col("sent_id").cast("string"), F.lit("_"), number.cast("string"))
+    eds = units.select("doc_id", F.lit("EDS").alias("layer"), mark("eds", F.col("unit_no")).alias("mark_id"), "sent_id", "first_idx", "last_idx")
+    sds = units.groupBy("doc_id", "sent_id").agg(F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx")).select("doc_id", F.lit("SDS").alias("layer"), mark("sds", F.lit(0)).alias("mark_id"), "sent_id", "first_idx", "last_idx")
+    kinds = units.select("doc_id", mark("eds", F.col("unit_no")).alias("mark_id"), F.lit("type").alias("feature"), F.col("kind").alias("value"))
+    parents = units.where("parent is not null").select("doc_id", mark("eds", F.col("unit_no")).alias("mark_id"), F.lit("parent").alias("feature"), mark("eds", F.col("parent")).alias("value"))
+    return eds.unionByName(sds), kinds.unionByName(parents)
+
+
+def units_of_layers(marks: DataFrame, feats: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, unit_no, kind, parent, first_idx, last_idx) back from the layers."""
+    number = lambda c: F.element_at(F.split(c, "_"), 3).cast("int")
+    pick = lambda f: F.max(F.when(F.col("feature") == f, F.col("value")))
+    named = feats.groupBy("doc_id", "mark_id").agg(pick("type").alias("kind"), pick("parent").alias("p"))
+    rows = marks.where("layer = 'EDS'").join(named, ["doc_id", "mark_id"])
+    return rows.select("doc_id", "sent_id", number(F.col("mark_id")).alias("unit_no"), "kind", number(F.col("p")).alias("parent"), "first_idx", "last_idx")
+
+
 def units_xml(units: DataFrame) -> DataFrame:
     """(doc_id, xml): ``sds`` per sentence with its ``eds`` units, by sentence."""
 
@@ -312,5 +340,3 @@ def units_xml(units: DataFrame) -> DataFrame:
     rows = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "unit_no", "kind", "parent", "text"))).alias("units"))
     return rows.mapInPandas(run, "doc_id string, xml string")
 
-
-__all__ = ["UnitSegmenter", "VerbTrie", "flatten"]

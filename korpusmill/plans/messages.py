@@ -196,6 +196,20 @@ def target_tags(spark, d):
     return target_tag(annotations.level_flags(_marks(spark, d))).select("file_name", "annotator", "word_id", "tag")
 
 
+@R.add(
+    f"""with {MARKS}, fl as (select file_name, annotator, word_id, bool_or(level = 'emo-expression') as emo from marks group by 1, 2, 3 having bool_or(level = 'sentiment')),
+ n as (select *, case when word_id - lag(word_id) over w = 1 then 0 else 1 end as new from fl window w as (partition by file_name, annotator order by word_id)), r as (select *, sum(new) over (partition by file_name, annotator order by word_id) as span_no from n)
+ select file_name, annotator, word_id, span_no::bigint as span_no, bool_or(emo) over (partition by file_name, annotator, span_no) as has_emo from r"""
+)
+def emo_inside(spark, d):
+    return annotations.emo_inside(annotations.level_flags(_marks(spark, d)))
+
+
+@R.add(f"""with {MARKS} select distinct file_name, annotator, 'is' || case level when 'emo-expression' then 'EmoExpression' else upper(level[1:1]) || level[2:] end || '("W_' || word_id || '")' as atom from marks""")
+def annotation_atoms(spark, d):
+    return annotations.annotation_atoms(_marks(spark, d)).where(F.col("atom").startswith("is"))
+
+
 WORDSQL = "wd as (select file_name, word_id, arg_min(form, (loaded_at, form)) as form from mmax_words where deleted_at is null group by 1, 2), ms as (select *, coalesce(sum((form = 'EOL')::int) over (partition by file_name order by word_id rows between unbounded preceding and 1 preceding), 0)::bigint as msg_no from wd)"
 
 

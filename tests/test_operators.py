@@ -326,3 +326,24 @@ def test_holdout_and_halves(spark):
     assert 120 < sampling.holdout(rows, "id").where("part = 'dev'").count() < 280
     first, second = sampling.half_resample(rows, "id", 0), sampling.half_resample(rows, "id", 1)
     assert 850 < first.count() < 1150 and not first.exceptAll(second).isEmpty()
+
+
+def test_unit_layers_round_trip(spark):
+    rows = [("d", 0, 0, "MainCl", None, 1, 3), ("d", 0, 1, "RelCl", 0, 4, 6), ("d", 1, 0, "MainCl", None, 1, 2)]
+    units = spark.createDataFrame(rows, "doc_id string, sent_id int, unit_no int, kind string, parent int, first_idx int, last_idx int")
+    marks, feats = discourse.unit_layers(units)
+    assert marks.where("layer = 'SDS'").count() == 2
+    assert sorted(map(tuple, discourse.units_of_layers(marks, feats).collect())) == sorted(rows)
+
+
+def test_source_texts_are_unique(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, text string")
+    assert discourse.source_texts(texts).count() == 2
+    with pytest.raises(Exception, match="duplicate id"):
+        discourse.source_texts(texts.union(texts)).collect()
+
+
+def test_tree_depths_with_a_loop(spark):
+    rows = [("d", 0, 1, 2), ("d", 0, 2, 0), ("d", 0, 3, 4), ("d", 0, 4, 3), ("d", 0, 5, 3), ("d", 0, 6, 1)]
+    got = {r["idx"]: r["depth"] for r in conll.tree_depths(spark.createDataFrame(rows, "doc_id string, sent_id int, idx int, phead int")).collect()}
+    assert got == {1: 1, 2: 0, 3: None, 4: None, 5: None, 6: 2}

@@ -107,3 +107,15 @@ def test_arff(spark):
     assert features.arff_header("r", [("a", "string")]).splitlines()[0] == "@relation r"
     row = spark.createDataFrame([("it's", None)], "a string, b string").select(features.arff_row(F.col("a"), F.col("b")).alias("x")).first()
     assert row["x"] == "'it\\'s',?"
+
+
+def test_command_line(spark, data, tmp_path):
+    from korpusmill import cli
+
+    (tmp_path / "m.tsv").write_text("1\tpos\tGruß @max!!!!\nbad line\n")
+    cli.main(["clean", str(tmp_path / "m.tsv"), "--format", "tsv", "--out", str(tmp_path / "clean"), "--as", "text"], spark)
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "clean")).collect()] == ["1\tGruß %User!"]
+    cli.main(["query", "word_counts", "--data", data, "--out", str(tmp_path / "q")], spark)
+    assert spark.read.parquet(str(tmp_path / "q")).count() > 0
+    with pytest.raises(ValueError):
+        cli.read_messages(spark, "x", "pdf")
