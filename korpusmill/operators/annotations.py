@@ -19,10 +19,9 @@ def current_words(words: DataFrame) -> DataFrame:
 
 def current_markables(markables: DataFrame) -> DataFrame:
     """Live markables, re-delivered rows once (smallest key)."""
-    live = markables.where("deleted_at is null")
-    key = ["file_name", "annotator", "anno_level", "markable_id"]
-    best = live.groupBy(*key).agg(F.min_by(F.struct("mk_key", "span", "sentiment_ref", "emo_expression_ref", "attrs"), "mk_key").alias("r"))
-    return best.select(*key, "r.*")
+    w = W.partitionBy("file_name", "annotator", "anno_level", "markable_id").orderBy("mk_key")
+    ranked = markables.where("deleted_at is null").withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return ranked.select("file_name", "annotator", "anno_level", "markable_id", "mk_key", "span", "sentiment_ref", "emo_expression_ref", "attrs")
 
 
 def reference_id(c):

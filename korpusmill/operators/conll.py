@@ -24,12 +24,13 @@ VALUE_OF = {
 def current_tokens(words: DataFrame) -> DataFrame:
     """One row per (doc_id, sent_id, idx): the first delivered.
 
-    min_by combines on the map side, so re-deliveries shrink before the shuffle.
+    One shuffle and one sort by sentence, which later windows and groupings of the sentence
+    reuse; columns that nothing asks for are not read. A position is delivered a few times
+    at most, so no group is large.
     """
-    key = ["doc_id", "sent_id", "idx"]
-    others = [c for c in words.columns if c not in key]
-    best = words.groupBy(*key).agg(F.min_by(F.struct(*others), F.col("tok_id")).alias("r"))
-    return best.select(*key, *[F.col("r")[c].alias(c) for c in others])
+    w = W.partitionBy("doc_id", "sent_id", "idx").orderBy("tok_id")
+    placed = words.repartition("doc_id", "sent_id").withColumn("_r", F.row_number().over(w))
+    return placed.where("_r = 1").drop("_r")
 
 
 def empty_to_null(c):

@@ -10,7 +10,7 @@ from korpusmill.operators.scans import ranked
 
 #: Word separators of the message quality filter.
 QUALITY_SPLIT = r"[-\]\s:;,.?!(){}\[]+"
-#: Function words of which a message must hold one (fixed values).
+#: Function words of which a message must hold one (a short list of our own).
 FUNCTION_WORDS = ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "zu", "in", "den", "mit", "auf", "für", "von", "im", "es", "ich", "sich", "auch")
 
 
@@ -29,10 +29,10 @@ def split_70_10_20(rows: DataFrame, order: list[str]) -> DataFrame:
     return ranked(rows, [], order, "_i", "_n").withColumn("split", split_name(F.col("_i"), F.col("_n"))).drop("_i", "_n")
 
 
-def is_good_message(text):
-    """More than four informative words, one of them a function word."""
+def is_good_message(text, function_words: tuple[str, ...] = FUNCTION_WORDS):
+    """More than four informative words, one of them a function word (callers bring their own list)."""
     words = F.filter(F.split(F.lower(text), QUALITY_SPLIT), lambda w: w.rlike(r"^[\p{L}0-9_][\p{L}0-9_']+[\p{L}0-9_.$]$") & ~w.rlike(r"^(?:[@#]|www|http)"))
-    return (F.size(words) > 4) & F.arrays_overlap(words, F.array(*map(F.lit, FUNCTION_WORDS)))
+    return (F.size(words) > 4) & F.arrays_overlap(words, F.array(*map(F.lit, function_words)))
 
 
 def dedupe_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -81,9 +81,9 @@ def message_ids(spark, d):
     return _messages(spark, d).where("id is not null").select("id").distinct()
 
 
-@R.add(r"select id, try_strptime(created_at[5:], '%b %d %H:%M:%S %z %Y') as created from messages where created_at is not null")
+@R.add(r"select id, strftime(try_strptime(created_at[5:], '%b %d %H:%M:%S %z %Y'), '%Y-%m-%d %H:%M:%S') as created from messages where created_at is not null")
 def message_times(spark, d):
-    return _messages(spark, d).where("created_at is not null").select("id", fn.message_time(F.col("created_at")).alias("created"))
+    return _messages(spark, d).where("created_at is not null").select("id", F.date_format(fn.message_time(F.col("created_at")), "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
 @R.add(r"select strftime(min(t), '%Y-%m-%d %H:%M:%S') as first_time, strftime(max(t), '%Y-%m-%d %H:%M:%S') as last_time from (select try_strptime(created_at[5:], '%b %d %H:%M:%S %z %Y') as t from messages)")

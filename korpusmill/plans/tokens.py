@@ -28,10 +28,10 @@ def document_sizes(spark, d):
     return _tokens(spark, d).groupBy("doc_id").agg(F.count_distinct("sent_id").alias("n_sentences"), F.count(F.lit(1)).alias("n_tokens"))
 
 
-@R.add("select * from conll_words where doc_id = (select min(doc_id) from conll_words)")
+@R.add("select tok_id, doc_id, sent_id, idx, form, pos from conll_words where doc_id = (select min(doc_id) from conll_words)")
 def select_by_id(spark, d):
     words = table(spark, d, "conll_words")
-    return words.join(F.broadcast(words.agg(F.min("doc_id").alias("doc_id"))), "doc_id").select(words.columns)  # one row
+    return words.join(F.broadcast(words.agg(F.min("doc_id").alias("doc_id"))), "doc_id").select("tok_id", "doc_id", "sent_id", "idx", "form", "pos")  # one row
 
 
 CLASS = r"""case when regexp_full_match(form, '\p{L}+') then case when regexp_full_match(form, '[\p{Lu}\p{Lt}][^\p{Lu}\p{Lt}]*') then 'Title' when regexp_full_match(form, '[^\p{Ll}]*\p{Lu}[^\p{Ll}]*') then 'Upper'
