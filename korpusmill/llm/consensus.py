@@ -78,20 +78,18 @@ def _maximise(rows: DataFrame, labels: list[str]) -> DataFrame:
     """(annotator, theta, guess, prior) of the next round from one pass over the votes.
 
     A pattern's posterior counts towards the prior in equal parts through its k votes, so
-    the sums per annotator and label hold the prior as well; what is left to sum up after
+    the sums per annotator hold the prior as well; what is left to sum up after
     that is one row per annotator.
     """
     own = _of_label(labels)
     truthful = own * F.col("theta") / (F.col("theta") + (1 - F.col("theta")) * F.col("guess_own"))
     mass = [F.sum(F.col("n") * F.col(f"p{i}") / F.col("k")).alias(f"q{i}") for i in range(len(labels))]
-    per = rows.groupBy("annotator", "label").agg(F.sum(F.col("n") * truthful).alias("truth"), F.sum(F.col("n") * (1 - truthful)).alias("spam"), *mass)
-    merged = per.groupBy("annotator").agg(
-        F.sum("truth").alias("truth"), F.sum("spam").alias("spam"), F.map_from_entries(F.collect_list(F.struct("label", "spam"))).alias("by"), *[F.sum(f"q{i}").alias(f"q{i}") for i in range(len(labels))]
-    )
+    spam = F.col("n") * (1 - truthful)
+    drawn = [F.sum(F.when(F.col("label") == t, spam).otherwise(0.0)).alias(f"g{i}") for i, t in enumerate(labels)]
+    merged = rows.groupBy("annotator").agg(F.sum(F.col("n") * truthful).alias("truth"), F.sum(spam).alias("spam"), *drawn, *mass)
     total = merged.agg(*[F.sum(f"q{i}").alias(f"t{i}") for i in range(len(labels))])
     names = F.array(*map(F.lit, labels))
-    spam_of = lambda t: F.coalesce(F.try_element_at("by", F.lit(t)), F.lit(0.0))
-    guesses = F.map_from_arrays(names, F.array(*[(spam_of(t) + SMOOTH_GUESS) / (F.col("spam") + SMOOTH_GUESS * len(labels)) for t in labels]))
+    guesses = F.map_from_arrays(names, F.array(*[(F.col(f"g{i}") + SMOOTH_GUESS) / (F.col("spam") + SMOOTH_GUESS * len(labels)) for i in range(len(labels))]))
     all_mass = sum((F.col(f"t{i}") for i in range(1, len(labels))), F.col("t0"))
     prior = F.map_from_arrays(names, F.array(*[(F.col(f"t{i}") + 1.0) / (all_mass + len(labels)) for i in range(len(labels))]))
     theta = (F.col("truth") + SMOOTH_TRUTH) / (F.col("truth") + F.col("spam") + 2 * SMOOTH_TRUTH)
