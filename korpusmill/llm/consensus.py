@@ -31,14 +31,14 @@ MAX_LABELS = 100
 
 def passage_votes(markables: DataFrame, level: str = "sentiment", attribute: str = "polarity") -> DataFrame:
     """(item, annotator, label) of passages; item is the file and the exact set of words."""
-    rows = markables.where(F.col("anno_level") == level).select(
-        "file_name", "annotator", "markable_id", F.array_sort(F.array_distinct(span_numbers(F.col("span")))).alias("words"), F.col("attrs").getItem(attribute).alias("label")
-    )
+    words = F.array_sort(F.array_distinct(span_numbers(F.col("span")))).alias("words")
+    rows = markables.where(F.col("anno_level") == level).select("file_name", words, "annotator", "markable_id", F.col("attrs").getItem(attribute).alias("label"))
     valid = rows.where(F.col("annotator").isNotNull() & F.col("label").isNotNull() & (F.size("words") > 0))
-    once = valid.distinct()  # re-delivered rows differ only in key and times
-    per = once.groupBy("file_name", "words", "annotator", "label").agg(F.count(F.lit(1)).alias("n"))
-    best = per.groupBy("file_name", "words", "annotator").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
-    return best.select(F.struct("file_name", "words").alias("item"), "annotator", "label")
+    # one shuffle by item; the groupings below and that of vote_patterns keep it, and an item has few rows
+    placed = valid.select(F.struct("file_name", "words").alias("item"), "annotator", "markable_id", "label").repartition("item")
+    once = placed.distinct()  # re-delivered rows differ only in key and times
+    per = once.groupBy("item", "annotator", "label").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("item", "annotator").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
 
 
 def vote_patterns(votes: DataFrame) -> DataFrame:
@@ -46,8 +46,8 @@ def vote_patterns(votes: DataFrame) -> DataFrame:
     return votes.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("votes"))
 
 
-def _labels(votes: DataFrame) -> list[str]:
-    found = sorted(r["label"] for r in votes.select("label").distinct().limit(MAX_LABELS + 1).collect())
+def _labels(patterns: DataFrame) -> list[str]:
+    found = sorted(r["label"] for r in patterns.select(F.explode("votes.label").alias("label")).distinct().limit(MAX_LABELS + 1).collect())
     if len(found) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
     return found
@@ -101,7 +101,7 @@ class Consensus:
 
     def __init__(self, votes: DataFrame, iterations: int = 15):
         self.patterns = checkpoint(vote_patterns(votes))
-        self.labels = _labels(votes)
+        self.labels = _labels(self.patterns)
         if not self.labels:
             self.items = self.patterns.select("item", F.lit(0).alias("n_annotators"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("agreement")).limit(0)
             self.annotators = votes.select("annotator", F.lit(0.0).alias("competence"), F.lit(None).cast("map<string,double>").alias("guess")).limit(0)
