@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 MODELS = ("multinomial", "bernoulli")
 
 
-def topic_priors(assigned: DataFrame, max_topics: int = 40) -> DataFrame:
-    """(topic, n, logp) of the ``max_topics`` most frequent topics; ``assigned`` has doc_id, topic."""
+def topic_priors(assigned: DataFrame, max_topics: int | None = 40) -> DataFrame:
+    """(topic, n, logp) of the ``max_topics`` most frequent topics (None: of all); ``assigned`` has doc_id, topic."""
     counts = assigned.where(F.col("topic").isNotNull()).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     priors = counts.crossJoin(F.broadcast(total)).select("topic", "n", F.ln(F.col("n") / F.col("total")).alias("logp"))
-    return priors.orderBy(F.desc("n"), "topic").limit(max_topics)
+    return priors if max_topics is None else priors.orderBy(F.desc("n"), "topic").limit(max_topics)
 
 
 def word_topic_counts(words: DataFrame, assigned: DataFrame, priors: DataFrame, model: str) -> DataFrame:
@@ -28,7 +28,7 @@ def word_topic_counts(words: DataFrame, assigned: DataFrame, priors: DataFrame,
 
 
 def _grid(counts: DataFrame, priors: DataFrame) -> DataFrame:
-    """Every known word with every surviving topic (at most ``max_topics`` rows per word)."""
+    """Every known word with every surviving topic (a row per word and topic)."""
     topics = priors.agg(F.collect_list("topic").alias("ts"))
     by_word = counts.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("by"), F.sum("n").alias("total"))
     rows = by_word.crossJoin(F.broadcast(topics)).select("word", "total", "by", F.explode("ts").alias("topic"))

@@ -214,9 +214,9 @@ def _topics(spark, d):
 
 
 @R.add(f"with {TOPIC}, allp as (select topic, n, ln(n / sum(n) over ()) as logp from (select topic, count(*) as n from asg group by 1)) select topic, n, round(logp, 6) as logp from allp order by n desc, topic limit 8")
-def topic_priors(spark, d):
+def topic_priors(spark, d, max_topics=8):
     _, assigned, _ = _topics(spark, d)
-    return topics.topic_priors(assigned, 8).select("topic", "n", F.round("logp", 6).alias("logp"))
+    return topics.topic_priors(assigned, max_topics).select("topic", "n", F.round("logp", 6).alias("logp"))
 
 
 TOPIC = TOPIC.replace(
@@ -227,9 +227,9 @@ MULTI = f"{TOPIC}, tc as (select word, topic, count(*) as n from wd join asg usi
 
 
 @R.add(f"with {MULTI} select word, topic, round(logp, 6) as logp from lik")
-def topic_likelihood_multinomial(spark, d):
+def topic_likelihood_multinomial(spark, d, max_topics=8):
     _, assigned, words = _topics(spark, d)
-    priors = topics.topic_priors(assigned, 8)
+    priors = topics.topic_priors(assigned, max_topics)
     return topics.multinomial_likelihood(topics.word_topic_counts(words, assigned, priors, "multinomial"), priors).select("word", "topic", F.round("logp", 6).alias("logp"))
 
 
@@ -237,9 +237,9 @@ BERN = f"{TOPIC}, tc as (select word, topic, count(*) as n from (select distinct
 
 
 @R.add(f"with {BERN} select word, topic, round(ln(p), 6) as logp, round(ln(1 - p), 6) as logp_absent from lik")
-def topic_likelihood_bernoulli(spark, d):
+def topic_likelihood_bernoulli(spark, d, max_topics=8):
     _, assigned, words = _topics(spark, d)
-    priors = topics.topic_priors(assigned, 8)
+    priors = topics.topic_priors(assigned, max_topics)
     done = topics.bernoulli_likelihood(topics.word_topic_counts(words, assigned, priors, "bernoulli"), priors)
     return done.select("word", "topic", F.round("logp", 6).alias("logp"), F.round("logp_absent", 6).alias("logp_absent"))
 
@@ -249,9 +249,9 @@ def topic_likelihood_bernoulli(spark, d):
  sc as (select ev.doc_id, pr.topic, pr.logp + coalesce(s, 0) as score from ev cross join pr left join s on s.doc_id = ev.doc_id and s.topic = pr.topic),
  rk as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, topic desc) as rank from sc) select doc_id, rank::int as rank, topic, round(score, 5) as score from rk where rank <= 3"""
 )
-def topic_detect_top3(spark, d):
+def topic_detect_top3(spark, d, max_topics=8):
     _, assigned, words = _topics(spark, d)
-    priors = topics.topic_priors(assigned, 8)
+    priors = topics.topic_priors(assigned, max_topics)
     likelihood = topics.multinomial_likelihood(topics.word_topic_counts(words, assigned, priors, "multinomial"), priors)
     return topics.detect_topics(words, priors, likelihood).select("doc_id", "rank", "topic", F.round("score", 5).alias("score"))
 
@@ -261,22 +261,36 @@ def topic_detect_top3(spark, d):
  sc as (select ev.doc_id, pr.topic, pr.logp + coalesce(s, 0) as score from ev cross join pr left join s on s.doc_id = ev.doc_id and s.topic = pr.topic),
  rk as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, topic desc) as rank from sc) select doc_id, rank::int as rank, topic, round(score, 5) as score from rk where rank <= 3"""
 )
-def topic_detect_bernoulli(spark, d):
+def topic_detect_bernoulli(spark, d, max_topics=8):
     _, assigned, words = _topics(spark, d)
-    priors = topics.topic_priors(assigned, 8)
+    priors = topics.topic_priors(assigned, max_topics)
     likelihood = topics.bernoulli_likelihood(topics.word_topic_counts(words, assigned, priors, "bernoulli"), priors)
     return topics.detect_topics(words, priors, likelihood, "bernoulli").select("doc_id", "rank", "topic", F.round("score", 5).alias("score"))
 
 
 @R.add(f"with {MULTI} select pr.topic, w.word from pr cross join (select distinct word from tc) w anti join tc on tc.topic = pr.topic and tc.word = w.word")
-def topic_missing_words(spark, d):
+def topic_missing_words(spark, d, max_topics=8):
     _, assigned, words = _topics(spark, d)
-    priors = topics.topic_priors(assigned, 8)
+    priors = topics.topic_priors(assigned, max_topics)
     counts = topics.word_topic_counts(words, assigned, priors, "multinomial")
-    every = counts.select("word").distinct().crossJoin(F.broadcast(priors.select("topic")))  # at most 8 topics
+    every = counts.select("word").distinct().crossJoin(F.broadcast(priors.select("topic")))  # a row per topic
     return every.join(counts, ["topic", "word"], "left_anti").select("topic", "word")
 
 
+def _over_all_topics(query):
+    """Registers the query over every topic, with its SQL without the limit of eight."""
+
+    def run(spark, d):
+        return query(spark, d, None)
+
+    run.__name__ = f"{query.__name__}_all"
+    R.add(R.oracles[query.__name__].replace(" order by n desc, topic limit 8", ""))(run)
+
+
+for _query in (topic_priors, topic_likelihood_multinomial, topic_likelihood_bernoulli, topic_detect_top3, topic_detect_bernoulli, topic_missing_words):
+    _over_all_topics(_query)
+
+
 SOURCES = r"with f as (select source, unnest(list_filter(string_split_regex(regexp_replace(lower(text), ':[0-9.]+', '', 'g'), '[ \t\n\r\f]+'), lambda w: w <> '')) as feature from documents where text is not null and source in ('feed_01', 'feed_02')), a as (select distinct feature from f where source = 'feed_01'), b as (select distinct feature from f where source = 'feed_02')"
 
 
