@@ -184,13 +184,15 @@ LEFT, RIGHT = r"(?:(?<=\s)|\A)", r"(?=[-?.!,\s]|\Z)"
 
 @dataclass
 class Checks:
-    """What the rules may ask: the dictionary and n-gram log-probabilities."""
+    """What the rules may ask: the dictionary and n-gram log-probabilities (without them the dictionary decides alone)."""
 
     known: Callable[[str], bool]
-    uni: Callable[[str], float] = lambda w: 0.0
-    bi: Callable[[str, str], float] = lambda a, b: 0.0
+    uni: Callable[[str], float] | None = None
+    bi: Callable[[str, str], float] | None = None
 
     def better(self, left: str, old: str, new: str, right: str, after: str | None = None, or_equal: bool = False) -> bool:
+        if self.uni is None or self.bi is None:
+            return True
         p_old = self.bi(left, old) + self.uni(old) + self.bi(old, right)
         p_new = self.bi(left, new) + self.uni(new) + self.bi(new, after or right)
         return p_new >= p_old if or_equal else p_new > p_old
@@ -207,8 +209,8 @@ def misspelling_rules() -> list[tuple[str, re.Pattern, Callable[[re.Match, Check
         rule("article", r"(irgend)?'?(ne[mnrs]?)", lambda m, c, l, r: (m[1] or "") + adjust_case("ei" + m[2], m[2])),
         rule("xsses", r"([^\W\d_]+s)s(es)", lambda m, c, l, r: f"{m[1]}t {m[2]}" if not c.known(m[0]) and c.known(m[1] + "t") else None),
         rule("xsser", r"([^\W\d_]+s)s(er)", lambda m, c, l, r: f"{m[1]}t {m[2]}" if not c.known(m[0]) and c.known(m[1] + "t") else None),
-        rule("xste", r"([^\W\d_]+st)e", lambda m, c, l, r: f"{m[1]} du" if not c.known(m[0]) and c.known(m[1]) and c.better(l, m[0], m[1], r, "du", True) else None),
-        rule("xs", r"([^\W\d_]*[^\W\d_e])s", lambda m, c, l, r: f"{m[1]} es" if not c.known(m[0]) and c.known(m[1]) and c.better(l, m[0], m[1], r, or_equal=True) else None),
+        rule("xste", r"([^\W\d_]+st)e", lambda m, c, l, r: f"{m[1]} du" if not c.known(m[0]) and c.known(m[1]) and c.better(l, m[0], m[1], r, "du") else None),
+        rule("xs", r"([^\W\d_]*[^\W\d_e])s", lambda m, c, l, r: f"{m[1]} es" if not c.known(m[0]) and c.known(m[1]) and c.better(l, m[0], m[1], r) else None),
         rule("xes", r"([^\W\d_]*[^\W\d_e])'?s", lambda m, c, l, r: f"{m[1]}e es" if not c.known(m[0]) and c.known(m[1] + "e") else None),
         rule("xn", r"([^\W\d_]+[^\We\d_])n", lambda m, c, l, r: f"{m[1]}en" if not c.known(m[0]) and c.known(m[1] + "en") else None),
         rule("xt", r"([^\W\d_]+[aeuio])t", lambda m, c, l, r: f"{m[1]}s" if not c.known(m[0]) and c.known(m[1] + "s") else None),
@@ -216,8 +218,23 @@ def misspelling_rules() -> list[tuple[str, re.Pattern, Callable[[re.Match, Check
     ]
 
 
+class _Asked(Checks):
+    """Refuses every n-gram check and keeps the n-grams it would need ("w" or "w1 w2")."""
+
+    def __init__(self, known: Callable[[str], bool]):
+        super().__init__(known)
+        self.ngrams: set[str] = set()
+
+    def better(self, left: str, old: str, new: str, right: str, after: str | None = None, or_equal: bool = False) -> bool:
+        self.ngrams |= {old, new, f"{left} {old}", f"{old} {right}", f"{left} {new}", f"{new} {after or right}"}
+        return False
+
+
 class MisspellingRestorer:
-    """Ordered rules over the words of a line; the first rule whose check holds rewrites a word."""
+    """Ordered rules over the words of a line; the first rule whose check holds rewrites a word.
+
+    The left neighbour is the one of the corrected line, the right one that of the line as it was.
+    """
 
     def __init__(self, checks: Checks):
         self.checks, self.rules = checks, misspelling_rules()
@@ -226,8 +243,9 @@ class MisspellingRestorer:
     def correct(self, line: str, log: ReplacementLog | None = None) -> str:
         out, at, size = [], 0, 0
         spans = [m for m in self.words.finditer(line)]
+        last = "bol"
         for i, match in enumerate(spans):
-            left = spans[i - 1].group() if i else "bol"
+            left, last = last, match.group()
             right = spans[i + 1].group() if i + 1 < len(spans) else "eol"
             for _, pattern, make in self.rules:
                 found = pattern.fullmatch(match.group())
@@ -237,24 +255,86 @@ class MisspellingRestorer:
                     size += match.start() - at + len(new)
                     if log is not None:
                         log.update(size, len(new) - len(match.group()))
-                    at = match.end()
+                    at, last = match.end(), self.words.findall(new)[-1]
                     break
         return "".join([*out, line[at:]])
 
+    def asked(self, line: str) -> list[str]:
+        """N-grams ("w" or "w1 w2") that ``correct`` may ask for, whatever the n-gram checks of earlier words say."""
+        asked, either = _Asked(self.checks.known), Checks(self.checks.known)
+        spans, lefts = [m.group() for m in self.words.finditer(line)], {"bol"}
+        for word, right in zip(spans, [*spans[1:], "eol"]):
+            lasts = set()
+            for _, pattern, make in self.rules:
+                if not (found := pattern.fullmatch(word)):
+                    continue
+                sure = [make(found, asked, left, right) for left in lefts][0]
+                may = make(found, either, "", right)
+                if may is not None and may != word:
+                    lasts.add(self.words.findall(may)[-1])
+                if sure is not None and sure != word:
+                    break
+            else:
+                lasts.add(word)
+            lefts = lasts
+        return sorted(asked.ngrams)
+
+
+def _ngram_scores(asked: DataFrame, unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """(_h, scores): log-probabilities of the n-grams asked for (_h, ngram) as a map."""
+    from korpusmill.functions.text import ngram_key
+    from korpusmill.operators.ngrams import LAMBDA, lookup_bigrams, unigram_logprob
+
+    parts = F.split("ngram", " ")
+    keyed = asked.withColumn("w1", ngram_key(F.get(parts, F.lit(0)))).withColumn("w2", ngram_key(F.get(parts, F.lit(1))))
+    pairs = keyed.where("w2 is not null")
+    two = pairs.join(lookup_bigrams(pairs.select("w1", "w2").distinct(), bigrams), ["w1", "w2"]).select("_h", "ngram", "logp")
+    floor = unigrams.agg(F.ln(F.lit(LAMBDA) / (F.coalesce(F.sum("cnt"), F.lit(0)) + LAMBDA * (F.count(F.lit(1)) + 1))).alias("u0"))
+    known = unigram_logprob(unigrams).select(F.col("w").alias("w1"), "logp")
+    one = keyed.where("w2 is null").join(known, "w1", "left").crossJoin(F.broadcast(floor)).select("_h", "ngram", F.coalesce("logp", "u0").alias("logp"))
+    return two.unionByName(one).groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("ngram", "logp"))).alias("scores"))
 
-def restore_misspellings(df: DataFrame, column: str, dictionary: DataFrame, max_words: int = 500_000) -> DataFrame:
-    """``column`` corrected with a dictionary of checked size that every worker holds."""
+
+def restore_misspellings(df: DataFrame, column: str, dictionary: DataFrame, max_words: int = 500_000, unigrams: DataFrame | None = None, bigrams: DataFrame | None = None) -> DataFrame:
+    """``column`` corrected with a dictionary of checked size that every worker holds.
+
+    With counts of ``unigrams`` (w, cnt) and ``bigrams`` (w1, w2, cnt) the rules also compare
+    the scores of old and new form: the n-grams that a text may ask for are joined to it first,
+    by a hash of the text (texts of one hash share their n-grams, which does no harm).
+    """
     words = [r[0] for r in dictionary.select(F.lower(dictionary.columns[0])).distinct().limit(max_words + 1).collect()]
     if len(words) > max_words:
         raise ValueError(f"the dictionary has more than {max_words} words; join the candidates instead")
     shared = df.sparkSession.sparkContext.broadcast(frozenset(words))
 
+    if (unigrams is None) != (bigrams is None):
+        raise ValueError("n-gram checks need unigrams and bigrams")
+
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         restorer = MisspellingRestorer(Checks(lambda w: w.lower() in shared.value))
         return s.map(lambda t: None if t is None else restorer.correct(t))
 
-    return df.withColumn(column, run(F.col(column)))
+    if unigrams is None:
+        return df.withColumn(column, run(F.col(column)))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def asks(s: pd.Series) -> pd.Series:
+        restorer = MisspellingRestorer(Checks(lambda w: w.lower() in shared.value))
+        return s.map(lambda t: [] if t is None else restorer.asked(t))
+
+    @F.pandas_udf(T.StringType())
+    def check(s: pd.Series, scores: pd.Series) -> pd.Series:
+        def one(t: str, known: dict) -> str:
+            of = dict(known)
+            return MisspellingRestorer(Checks(lambda w: w.lower() in shared.value, of.__getitem__, lambda a, b: of[f"{a} {b}"])).correct(t)
+
+        restorer = MisspellingRestorer(Checks(lambda w: w.lower() in shared.value))
+        return pd.Series([None if t is None else restorer.correct(t) if k is None else one(t, k) for t, k in zip(s, scores)], dtype=object)
+
+    keyed = df.withColumn("_h", F.xxhash64(column))
+    scores = _ngram_scores(keyed.select("_h", F.explode(asks(F.col(column))).alias("ngram")).distinct(), unigrams, bigrams)
+    return keyed.join(scores, "_h", "left").withColumn(column, check(F.col(column), F.col("scores"))).drop("_h", "scores")
 
 
 # --- dictionary -------------------------------------------------------------------------------------

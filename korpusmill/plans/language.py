@@ -64,7 +64,7 @@ def umlaut_restore_simple(spark, d):
 def misspelling_restore(spark, d):
     docs = _docs(spark, d).where("lang = 'de'").select("doc_id", "text")
     words = ngrams.corpus_words(docs).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("word")
-    return noise.restore_misspellings(docs, "text", words)
+    return noise.restore_misspellings(docs, "text", words, unigrams=ngrams.unigram_counts(docs), bigrams=ngrams.ngram_counts(docs, 2))
 
 
 @R.add()

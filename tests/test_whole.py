@@ -2,6 +2,7 @@
 
 import pytest
 
+from korpusmill.operators import ngrams, noise
 from korpusmill.plans import registry
 
 
@@ -26,3 +27,32 @@ def test_every_topic_is_detected(spark, tables):
         assert best == {doc: source for doc, source, _, _ in rows}
     for name in ("topic_likelihood_multinomial_all", "topic_likelihood_bernoulli_all", "topic_missing_words_all"):
         assert {r["topic"] for r in run(name)} == names
+
+
+def test_ngrams_refuse_a_misspelling(spark):
+    """"hab" is out of the dictionary and "habe" in it, but only the n-grams of one line speak for the change."""
+    lines = spark.createDataFrame([("a", "ich hab das"), ("b", "sie hab nie"), ("c", None)], "doc_id string, text string")
+    known = spark.createDataFrame([("habe",), ("ich",), ("das",)], "word string")
+    corpus = spark.createDataFrame([(f"x{i}", "ich habe das") for i in range(9)] + [(f"y{i}", "sie hab nie") for i in range(9)], "doc_id string, text string")
+    uni, bi = ngrams.unigram_counts(corpus), ngrams.ngram_counts(corpus, 2)
+    got = {r["doc_id"]: r["text"] for r in noise.restore_misspellings(lines, "text", known, unigrams=uni, bigrams=bi).collect()}
+    assert got == {"a": "ich habe das", "b": "sie hab nie", "c": None}
+
+
+def test_misspelling_query_uses_ngrams(spark, tables):
+    texts = ["sie gibts nie"] + ["wer gibt dir"] * 2
+    d = tables(documents=([(f"d{i}", t, "de") for i, t in enumerate(texts)], "doc_id string, text string, lang string"))
+    got = {r["doc_id"]: r["text"] for r in registry.QUERIES["misspelling_restore"](spark, d).collect()}
+    assert got["d0"] == "sie gibts nie"
+
+
+def test_asked_ngrams_cover_what_is_asked():
+    known = {"gibt", "geht", "habe", "komm", "kommst", "das", "es"}
+    texts = ["gibts hab das", "hab gehts kommste", "gibts gibts hab hab", "", "ne hab raus kommste"]
+    for wanted in (0.0, 1.0):
+        for text in texts:
+            asked = set(noise.MisspellingRestorer(noise.Checks(known.__contains__)).asked(text))
+            missed = []
+            score = lambda x: (missed.append(x) if x not in asked else None, wanted * (len(x) % 7))[1]
+            noise.MisspellingRestorer(noise.Checks(known.__contains__, score, lambda a, b: score(f"{a} {b}"))).correct(text)
+            assert not missed
