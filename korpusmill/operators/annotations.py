@@ -90,6 +90,27 @@ def annotator_pairs(markables: DataFrame, level: str) -> DataFrame:
     return words.groupBy("file_name", "word_id").agg(F.max((F.col("k") == 1).cast("int")).alias("a1"), F.max((F.col("k") == 2).cast("int")).alias("a2"))
 
 
+def pairs_of_annotators(marks: DataFrame) -> DataFrame:
+    """(file_name, annotator1, annotator2): every two annotators of a file, the lower one first."""
+    who = marks.select("file_name", "annotator").distinct()
+    first, second = who.withColumnRenamed("annotator", "annotator1"), who.withColumnRenamed("annotator", "annotator2")
+    return first.join(second, "file_name").where("annotator1 < annotator2")
+
+
+def marks_of_pairs(marks: DataFrame) -> DataFrame:
+    """``marks`` once for each pair their annotator is in, with annotator1, annotator2 and k (1 or 2: which one it is)."""
+    pairs = pairs_of_annotators(marks)
+    sides = pairs.select("*", F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("annotator1").alias("annotator")), F.struct(F.lit(2).alias("k"), F.col("annotator2").alias("annotator")))).alias("s"))
+    return marks.join(sides.select("file_name", "annotator1", "annotator2", "s.k", "s.annotator"), ["file_name", "annotator"])
+
+
+def every_annotator_pair(markables: DataFrame, level: str) -> DataFrame:
+    """(file_name, annotator1, annotator2, word_id, a1, a2): words of a level by every two annotators of each file, full join."""
+    marks = marks_of_pairs(markable_words(markables).where(F.col("level") == level))
+    flag = lambda k: F.max((F.col("k") == k).cast("int"))
+    return marks.groupBy("file_name", "annotator1", "annotator2", "word_id").agg(flag(1).alias("a1"), flag(2).alias("a2"))
+
+
 def split_by_difference(markables: DataFrame, attribute: str = "diff_type") -> tuple[DataFrame, DataFrame]:
     """(kept, differing): markables without and with a difference of kind missing or redundant."""
     kind = F.try_element_at("attrs", F.lit(attribute))

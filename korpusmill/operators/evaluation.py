@@ -124,12 +124,15 @@ def annotator_agreement(marks: DataFrame, totals: DataFrame, scheme: str = "prop
     return rolled.select("file", "level", "n", "marked1", "overlap1", "marked2", "overlap2", F.round(k, 6).alias("kappa"))
 
 
-def message_agreement(marked: DataFrame) -> DataFrame:
-    """One row of kappa, precision, recall and F for messages flagged by two annotators (m1, m2 in 0/1)."""
-    c = marked.agg(F.count(F.lit(1)).alias("n"), F.sum("m1").alias("a"), F.sum("m2").alias("b"), F.sum(F.col("m1") * F.col("m2")).alias("n_both"))
+def message_agreement(marked: DataFrame, by: str | None = None) -> DataFrame:
+    """Kappa, precision, recall and F for messages flagged by two annotators (m1, m2 in 0/1).
+
+    One row over all; with ``by`` also one for each of its values, which are not null.
+    """
+    c = (marked.rollup(by) if by else marked.groupBy()).agg(F.count(F.lit(1)).alias("n"), F.sum("m1").alias("a"), F.sum("m2").alias("b"), F.sum(F.col("m1") * F.col("m2")).alias("n_both"))
     k = kappa(F.col("n"), F.col("a"), F.col("n_both"), F.col("b"), F.col("n_both"))
     p, r = F.try_divide("n_both", "b"), F.try_divide("n_both", "a")
-    return c.select("n", "a", "b", "n_both", F.round(k, 6).alias("kappa"), F.round(F.coalesce(p, F.lit(0.0)), 6).alias("prec"), F.round(F.coalesce(r, F.lit(0.0)), 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
+    return c.select(*([by] if by else []), "n", "a", "b", "n_both", F.round(k, 6).alias("kappa"), F.round(F.coalesce(p, F.lit(0.0)), 6).alias("prec"), F.round(F.coalesce(r, F.lit(0.0)), 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
 
 
 def compare_feature_sets(first: DataFrame, second: DataFrame) -> DataFrame:

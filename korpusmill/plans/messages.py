@@ -285,6 +285,64 @@ def annotator_pairs(spark, d):
     return annotations.annotator_pairs(annotations.current_markables(table(spark, d, "markables")), "target")
 
 
+# --- every two annotators of a file: the queries above with (file, annotator1, annotator2) in the place of the file
+
+PAIR = "{'file': pr.file_name, 'annotator1': annotator1, 'annotator2': annotator2}"
+PAIRS = f"""{MARKS}, an as (select distinct file_name, annotator from marks), pr as (select a.file_name, a.annotator as annotator1, b.annotator as annotator2 from an a join an b on a.file_name = b.file_name and a.annotator < b.annotator),
+ two as (select {PAIR} as file, m.level, case when m.annotator = annotator1 then 1 else 2 end as annotator, m.markable_id as span_id, m.word_id as word from marks m join pr on pr.file_name = m.file_name and m.annotator in (annotator1, annotator2)),
+ nw as (select {PAIR} as file, n from pr join (select file_name, count(distinct word_id) as n from mmax_words group by 1) using (file_name))"""
+OF_PAIR = "file.file as file, file.annotator1 as annotator1, file.annotator2 as annotator2"
+
+
+def _pair():
+    return F.struct(F.col("file_name").alias("file"), "annotator1", "annotator2").alias("file")
+
+
+def _every_pair(spark, d):
+    marks = _marks(spark, d)
+    two = annotations.marks_of_pairs(marks).select(_pair(), "level", F.col("k").alias("annotator"), F.col("markable_id").alias("span_id"), F.col("word_id").alias("word"))
+    n_words = table(spark, d, "mmax_words").groupBy("file_name").agg(F.count_distinct("word_id").alias("n"))
+    pairs = annotations.pairs_of_annotators(marks)
+    return two, pairs.join(n_words, "file_name").select(_pair(), "n"), pairs
+
+
+def _agreement_all(scheme):
+    def run(spark, d):
+        two, totals, _ = _every_pair(spark, d)
+        return evaluation.annotator_agreement(two, totals, scheme).select("file.*", "level", "n", "marked1", "overlap1", "marked2", "overlap2", "kappa")
+
+    run.__name__ = f"agreement_{scheme}_all"
+    return run
+
+
+for _scheme in ("proportional", "binary", "exact"):
+    R.add(R.oracles[f"agreement_{_scheme}"].replace(TWO, PAIRS).replace(KAPPA, KAPPA.replace("select file,", f"select {OF_PAIR},")))(_agreement_all(_scheme))
+
+
+@R.add(
+    f"""with {PAIRS}, {WORDSQL}, am as (select distinct t.file, t.annotator, ms.msg_no from two t join ms on ms.file_name = t.file.file and ms.word_id = t.word where t.level = 'sentiment' and ms.form <> 'EOL'),
+ mg as (select distinct {PAIR} as file, msg_no from ms join pr using (file_name) where form <> 'EOL'), x as (select mg.file, mg.msg_no, max(coalesce((annotator = 1)::int, 0)) as m1, max(coalesce((annotator = 2)::int, 0)) as m2 from mg left join am using (file, msg_no) group by 1, 2),
+ c as (select file, count(*) as n, sum(m1) as a, sum(m2) as b, sum(m1 * m2) as ab from x group by grouping sets ((file), ())), k as (select *, (a / n) * (b / n) + (1 - a / n) * (1 - b / n) as ch, (n - a + ab - b + ab) / n as ag, coalesce(ab / nullif(b, 0), 0) as p, coalesce(ab / nullif(a, 0), 0) as r from c)
+ select {OF_PAIR}, n, a::bigint as a, b::bigint as b, ab::bigint as n_both, round(case when ch = 1 then 0 else (ag - ch) / (1 - ch) end, 6) as kappa, round(p, 6) as prec, round(r, 6) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1 from k"""
+)
+def message_agreement_all(spark, d):
+    two, _, pairs = _every_pair(spark, d)
+    words = _words(spark, d)
+    by_pair = words.join(pairs, "file_name").select(_pair(), "msg_no").distinct()
+    marked = two.where("level = 'sentiment'").withColumn("file_name", F.col("file.file")).join(words.withColumnRenamed("word_id", "word"), ["file_name", "word"])
+    flag = lambda k: F.max((F.col("annotator") == k).cast("int"))
+    flagged = marked.groupBy("file", "msg_no").agg(flag(1).alias("m1"), flag(2).alias("m2"))
+    every = by_pair.join(flagged, ["file", "msg_no"], "left").fillna(0, ["m1", "m2"])
+    return evaluation.message_agreement(every, "file").select("file.*", "n", "a", "b", "n_both", "kappa", "prec", "recall", "f1")
+
+
+@R.add(
+    f"with {MARKS}, t as (select distinct file_name, annotator, word_id from marks where level = 'target'), an as (select distinct file_name, annotator from t), pr as (select a.file_name, a.annotator as annotator1, b.annotator as annotator2 from an a join an b on a.file_name = b.file_name and a.annotator < b.annotator) select t.file_name, annotator1, annotator2, word_id, max((annotator = annotator1)::int) as a1, max((annotator = annotator2)::int) as a2 from t join pr on pr.file_name = t.file_name and annotator in (annotator1, annotator2) group by 1, 2, 3, 4"
+)
+def annotator_pairs_all(spark, d):
+    return annotations.every_annotator_pair(annotations.current_markables(table(spark, d, "markables")), "target")
+
+
 @R.add("select mk_key, coalesce(attrs['intensity'], 'none') as kind from markables where coalesce(attrs['intensity'] not in ('weak', 'strong'), true)")
 def split_markables(spark, d):
     from pyspark.sql.functions import coalesce, lit, try_element_at, when

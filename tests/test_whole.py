@@ -56,3 +56,21 @@ def test_asked_ngrams_cover_what_is_asked():
             score = lambda x: (missed.append(x) if x not in asked else None, wanted * (len(x) % 7))[1]
             noise.MisspellingRestorer(noise.Checks(known.__contains__, score, lambda a, b: score(f"{a} {b}"))).correct(text)
             assert not missed
+
+
+def test_every_pair_of_annotators_is_compared(spark, tables):
+    marks = [(f"k{a}", "f", a, "sentiment", f"m{a}", span) for a, span in ((1, "word_1"), (2, "word_2"), (3, "word_1"))]
+    marks += [(f"t{a}", "f", a, "target", f"t{a}", "word_1") for a in (1, 2, 3)]
+    ddl = "mk_key string, file_name string, annotator int, anno_level string, markable_id string, span string"
+    frame = [(*m, None, None, None, None) for m in marks]
+    d = tables(
+        markables=(frame, f"{ddl}, sentiment_ref string, emo_expression_ref string, attrs map<string,string>, deleted_at timestamp"),
+        mmax_words=([("f", i, w, None, None) for i, w in ((1, "gut"), (2, "schlecht"), (3, "EOL"), (4, "so"))], "file_name string, word_id int, form string, loaded_at timestamp, deleted_at timestamp"),
+    )
+    for scheme in ("binary", "proportional", "exact"):
+        rows = [r for r in registry.QUERIES[f"agreement_{scheme}_all"](spark, d).collect() if r["level"] == "sentiment"]
+        assert {(r["annotator1"], r["annotator2"]): r["overlap1"] for r in rows} == {(1, 2): 0, (1, 3): 1, (2, 3): 0, (None, None): 1}
+    rows = registry.QUERIES["message_agreement_all"](spark, d).collect()
+    assert sorted((r["annotator1"] or 0, r["annotator2"] or 0, r["n"], r["n_both"]) for r in rows) == [(0, 0, 6, 3), (1, 2, 2, 1), (1, 3, 2, 1), (2, 3, 2, 1)]
+    rows = registry.QUERIES["annotator_pairs_all"](spark, d).collect()
+    assert sorted((r["annotator1"], r["annotator2"], r["word_id"], r["a1"], r["a2"]) for r in rows) == [(1, 2, 1, 1, 1), (1, 3, 1, 1, 1), (2, 3, 1, 1, 1)]
