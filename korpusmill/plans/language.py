@@ -102,6 +102,28 @@ def dictionary_suggestions(spark, d):
     return noise.suggestions(entries, entries, "tag")
 
 
+def _forms(spark, d):
+    """Every form of the token files with its frequency."""
+    return _tokens(spark, d).where("form is not null").groupBy(F.col("form").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add(
+    r"""with tok as (select * from conll_words qualify row_number() over (partition by doc_id, sent_id, idx order by tok_id) = 1), w as (select form as word, count(*) as n from tok where form is not null group by 1), dict as (select word from w where n >= 3)
+ select w.word, coalesce(a.word is not null or b.word is not null, false) as known from w left join dict a on a.word = w.word left join dict b on b.word = upper(w.word[1:1]) || lower(w.word[2:])"""
+)
+def dictionary_lookup_all(spark, d):
+    """Every word of the token files looked up among the frequent ones."""
+    words = _forms(spark, d)
+    return noise.in_dictionary(words.select("word"), words.where("n >= 3").select("word"))
+
+
+@R.add()
+def dictionary_suggestions_all(spark, d):
+    """Frequent words near each word of the token files."""
+    words = _forms(spark, d)
+    return noise.suggestions(words, words.where("n >= 3").select("word"))
+
+
 @R.add()
 def sentence_split(spark, d):
     rows = _docs(spark, d).select("doc_id", F.posexplode(segments.sentences(F.col("text"))).alias("sent_id", "s"))

@@ -74,3 +74,35 @@ def test_every_pair_of_annotators_is_compared(spark, tables):
     assert sorted((r["annotator1"] or 0, r["annotator2"] or 0, r["n"], r["n_both"]) for r in rows) == [(0, 0, 6, 3), (1, 2, 2, 1), (1, 3, 2, 1), (2, 3, 2, 1)]
     rows = registry.QUERIES["annotator_pairs_all"](spark, d).collect()
     assert sorted((r["annotator1"], r["annotator2"], r["word_id"], r["a1"], r["a2"]) for r in rows) == [(1, 2, 1, 1, 1), (1, 3, 1, 1, 1), (2, 3, 1, 1, 1)]
+
+
+TOKEN = "tok_id string, doc_id string, sent_id int, idx int, form string, pos string, phead int, pdeprel string, pfeat string"
+
+
+def tokens_of(*sentences):
+    words = [(k, i, w) for k, s in enumerate(sentences) for i, w in enumerate(s.split(), 1)]
+    return [(f"{k}_{i}", "d", k, i, w, "NN", 0 if i == 1 else 1, "SB", None) for k, i, w in words], TOKEN
+
+
+def near(a, b):
+    """Whether one insertion, deletion or substitution at most leads from a to b, by trying them all."""
+    edits = {a} | {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + c + a[i + k :] for i in range(len(a) + 1) for c in set(b) for k in (0, 1)}
+    return b in edits
+
+
+def test_dictionary_runs_over_the_words_of_the_texts(spark, tables):
+    rows = tokens_of("haus maus Haus laus hau Baum", "haus maus Baum haus maus Baum", "xyz haut maus baum aus")
+    d = tables(conll_words=rows)
+    forms = [r[4] for r in rows[0]]
+    frequent = {w for w in forms if forms.count(w) >= 3}
+    known = {r["word"]: r["known"] for r in registry.QUERIES["dictionary_lookup_all"](spark, d).collect()}
+    assert known == {w: w in frequent or w.capitalize() in frequent for w in forms}
+    got = {}
+    for r in registry.QUERIES["dictionary_suggestions_all"](spark, d).collect():
+        got.setdefault(r["word"], []).append((r["rank"], r["suggestion"], r["distance"]))
+    want = {}
+    for w in {f.lower() for f in forms}:
+        best = sorted((int(w != f.lower()), f.lower()) for f in frequent if near(w, f.lower()))[:3]
+        if best:
+            want[w] = [(k, f, n) for k, (n, f) in enumerate(best, 1)]
+    assert {w: sorted(x) for w, x in got.items()} == want
