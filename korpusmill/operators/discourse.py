@@ -230,8 +230,12 @@ def find_connectives(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     hits = grams.select("doc_id", "sent_id", "idx", F.col("x.n").alias("n"), F.col("x.g").alias("part")).join(parts, ["n", "part"])
     first = hits.where("p = 0").select("doc_id", "sent_id", "entry", "orth", "type", "rel", "k", F.col("idx").alias("first_idx"), (F.col("idx") + F.col("n") - 1).alias("end0"))
     second = hits.where("p = 1").select("doc_id", "sent_id", "entry", F.col("idx").alias("i1"), (F.col("idx") + F.col("n") - 1).alias("end1"))
-    paired = first.where("k > 1").join(second, ["doc_id", "sent_id", "entry"]).where("i1 > end0").groupBy("doc_id", "sent_id", "entry", "orth", "type", "rel", "first_idx").agg(F.min("end1").alias("last_idx"))
-    single = first.where("k = 1").select("doc_id", "sent_id", "entry", "orth", "type", "rel", "first_idx", F.col("end0").alias("last_idx"))
+    paired = first.where("k > 1").join(second, ["doc_id", "sent_id", "entry"]).where("i1 > end0").groupBy("doc_id", "sent_id", "entry", "orth", "type", "rel", "first_idx").agg(F.min(F.struct("i1", "end1")).alias("_s"))
+    nearest = W.partitionBy("doc_id", "sent_id", "entry", "_s.i1").orderBy(F.desc("first_idx"))
+    paired = paired.withColumn("_n", F.row_number().over(nearest)).where("_n = 1").withColumn("last_idx", F.col("_s.end1"))
+    taken = paired.select("doc_id", "sent_id", F.explode(F.sequence("_s.i1", "last_idx")).alias("first_idx")).distinct()
+    paired = paired.drop("_s", "_n")
+    single = first.where("k = 1").select("doc_id", "sent_id", "entry", "orth", "type", "rel", "first_idx", F.col("end0").alias("last_idx")).join(taken, ["doc_id", "sent_id", "first_idx"], "left_anti")
     every = single.unionByName(paired)
     rank = W.partitionBy("doc_id", "sent_id", "first_idx").orderBy(F.desc("last_idx"), F.desc(F.size("orth")), "entry")
     best = every.withColumn("_r", F.row_number().over(rank)).where("_r = 1")

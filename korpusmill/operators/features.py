@@ -89,14 +89,14 @@ def title(c):
     return F.concat(F.upper(c.substr(1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))
 
 
-def logic_atoms(tokens: DataFrame, prefix_: str = "W") -> DataFrame:
-    """(doc_id, sent_id, idx, atom): Tag, Connector and isX ground atoms of each token."""
+def logic_atoms(tokens: DataFrame, prefix_: str = "W", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, sent_id, idx, atom): Tag, Connector and isX ground atoms of each token, with its columns ``keep``."""
     me = F.concat(F.lit(f'"{prefix_}_'), F.col("sent_id").cast("string"), F.lit("_"), F.col("idx").cast("string"), F.lit('"'))
     parent = F.concat(F.lit(f'"{prefix_}_'), F.col("sent_id").cast("string"), F.lit("_"), F.col("phead").cast("string"), F.lit('"'))
     rel = F.when(F.col("pdeprel") == "--", "CPUNCT").otherwise(F.coalesce("pdeprel", F.lit("_")))
     feats = F.transform(F.map_entries(F.coalesce(feature_map(F.col("pfeat")), F.create_map().cast("map<string,string>"))), lambda e: F.concat(F.lit("is"), title(e["key"]), F.lit("("), me, F.lit(", "), F.upper(F.when(e["value"] == "*", "ANY").otherwise(e["value"])), F.lit(")")))
     base = F.array(F.concat(F.lit("Tag("), me, F.lit(", "), translate_tag(F.coalesce("pos", F.lit("_"))), F.lit(")")), F.concat(F.lit("Connector("), me, F.lit(", "), parent, F.lit(", "), rel, F.lit(")")))
-    return tokens.select(*SENT, "idx", F.explode(F.concat(base, feats)).alias("atom"))
+    return tokens.select(*SENT, "idx", *keep, F.explode(F.concat(base, feats)).alias("atom"))
 
 
 def split_evidence(atoms: DataFrame, hidden: list[str]) -> tuple[DataFrame, DataFrame]:

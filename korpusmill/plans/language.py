@@ -195,6 +195,12 @@ def connective_counts(spark, d):
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@R.add()
+def connective_counts_all(spark, d):
+    """Connectives by type, those of several parts or words too."""
+    return _connectives(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @R.add()
 def connective_arguments(spark, d):
     tokens = _tokens(spark, d)

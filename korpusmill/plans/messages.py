@@ -210,6 +210,12 @@ def annotation_atoms(spark, d):
     return annotations.annotation_atoms(_marks(spark, d)).where(F.col("atom").startswith("is"))
 
 
+@R.add()
+def annotation_atoms_all(spark, d):
+    """Marks and attributes; a null attribute makes no atom."""
+    return annotations.annotation_atoms(_marks(spark, d)).where("atom is not null")
+
+
 WORDSQL = "wd as (select file_name, word_id, arg_min(form, (loaded_at, form)) as form from mmax_words where deleted_at is null group by 1, 2), ms as (select *, coalesce(sum((form = 'EOL')::int) over (partition by file_name order by word_id rows between unbounded preceding and 1 preceding), 0)::bigint as msg_no from wd)"
 
 

@@ -125,6 +125,12 @@ def logic_atoms(spark, d):
     return atoms.join(tokens.select("doc_id", "sent_id", "idx", "tok_id"), ["doc_id", "sent_id", "idx"]).select("tok_id", "atom")
 
 
+@R.add()
+def logic_atoms_all(spark, d):
+    """Tags, edges and features; a token without head makes no edge."""
+    return features.logic_atoms(_tokens(spark, d), keep=("tok_id",)).where("atom is not null").select("tok_id", "atom")
+
+
 @R.add(
     f"""with {TOK}, n as (select doc_id, sent_id, idx, '  n' || idx || ' [label="' || replace(replace(coalesce(form, ''), '\\', '\\\\'), '"', '\\"') || '"];' || case when phead > 0 then chr(10) || '  n' || phead || ' -> n' || idx || ' [label="' || coalesce(pdeprel, '') || '"];' else '' end as s from tok)
  select doc_id, sent_id, 'digraph {{' || chr(10) || string_agg(s, chr(10) order by idx) || chr(10) || '}}' as dot from n group by 1, 2"""

@@ -106,3 +106,23 @@ def test_dictionary_runs_over_the_words_of_the_texts(spark, tables):
         if best:
             want[w] = [(k, f, n) for k, (n, f) in enumerate(best, 1)]
     assert {w: sorted(x) for w, x in got.items()} == want
+
+
+def test_every_connective_counts_once(spark, tables):
+    d = tables(conll_words=tokens_of("aber sie kommt weil er lacht", "zwar singt er aber leise", "entweder er kommt oder nicht", "sie geht ohne dass er lacht", "zwar und zwar klein aber fein"))
+    got = {r["type"]: r["n"] for r in registry.QUERIES["connective_counts_all"](spark, d).collect()}
+    assert got == {"conj": 5, "subj": 2}  # aber, zwar..aber, entweder..oder, und, zwar..aber; weil, ohne dass
+
+
+def test_atoms_of_attributes_and_features(spark, tables):
+    mark = ("k1", "f", 1, "sentiment", "m1", "word_1..word_2", None, None, {"polarity": "positive"}, None)
+    rows, ddl = tokens_of("Haus steht")
+    rows = [(*rows[0][:8], "nom|sg|masc"), (*rows[1][:6], None, *rows[1][7:])]
+    d = tables(
+        markables=([mark], "mk_key string, file_name string, annotator int, anno_level string, markable_id string, span string, sentiment_ref string, emo_expression_ref string, attrs map<string,string>, deleted_at timestamp"),
+        conll_words=([(*r[:8], "case=nom|num=sg" if r[8] else None) for r in rows], ddl),
+    )
+    atoms = {r["atom"] for r in registry.QUERIES["annotation_atoms_all"](spark, d).collect()}
+    assert atoms == {'isSentiment("W_1")', 'isSentiment("W_2")', 'hasSentimentPolarity("W_1", POSITIVE)'}
+    got = [r["atom"] for r in registry.QUERIES["logic_atoms_all"](spark, d).collect()]
+    assert None not in got and sorted(a.split("(")[0] for a in got) == ["Connector", "Tag", "Tag", "isCase", "isNum"]
