@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters after a pre-token that can still change it.
 MARGIN = 3
-#: Pre-tokens longer than this many bytes go through the transducer without being remembered.
-LONG = 200
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -83,11 +81,8 @@ class Transducer:
 
     def piece(self, text: str) -> list[int]:
         """Ids of a complete pre-token."""
-        raw = text.encode("utf-8")
-        if len(raw) <= LONG:
-            return self.merge(raw)
         stream = PieceStream(self)
-        return [*stream.feed(raw), *stream.end()]
+        return [*stream.feed(text.encode("utf-8")), *stream.end()]
 
 
 class PieceStream:

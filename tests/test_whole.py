@@ -126,3 +126,14 @@ def test_atoms_of_attributes_and_features(spark, tables):
     assert atoms == {'isSentiment("W_1")', 'isSentiment("W_2")', 'hasSentimentPolarity("W_1", POSITIVE)'}
     got = [r["atom"] for r in registry.QUERIES["logic_atoms_all"](spark, d).collect()]
     assert None not in got and sorted(a.split("(")[0] for a in got) == ["Connector", "Tag", "Tag", "isCase", "isNum"]
+
+
+def test_short_pieces_go_through_the_transducer(monkeypatch):
+    from korpusmill.llm import bpe
+
+    transducer = bpe.Transducer({bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257})
+    used = []
+    step = bpe.PieceStream._step
+    monkeypatch.setattr(bpe.PieceStream, "_step", lambda self, byte: (used.append(byte), step(self, byte))[1])
+    assert transducer.piece("abcab") == transducer.merge(b"abcab") == [257, 256]
+    assert len(used) == 5
