@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -13,44 +12,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korpusmill.operators.patterns import RESULT, MapRules, MultiPattern, PatternRules, ReplacementLog, adjust_case, leftmost_longest
-
-#: Rules of the noise cleaner (our own wording of the documented behaviour).
-NOISE_RULES = r"""
-^([.?!:;]+) --> "";;
-[a-zäöüß\s]([MR]T:?\s*@[\w]+:*) --> "";;
-(?:^|[.!?"'“]\s*)((?:(?:[MR]T:?\s*)?@\w+:?\s+)+)(?=\S) --> "";;
-(?:[.!?"']|^)((?:\s+@\w+)+)\s*$ --> "";;
-(?:^|\s)(@+)(\w+) --> "";; "%User";;
-([#_]+)(?=[^#_\s]) --> "";;
-\w(_+)(?=\s|$|[:;]) --> "";;
-(?:^|\s)([\w.+-]+@\w+(?:\.\w+)+) --> "%Mail";;
-(\s+(?:[-:|]\s+)?(?:https?://?|www\.)\S+)\s*$ --> "";;
-(?:^|[\s("'])((?:https?://?|www\.)(?:[^\s,.:;"']|[.:]\w)+|(?:\w[\w-]*\.)+(?:de|com|net|org|info|eu|at|ch)\b(?:/(?:[^\s,.:;"']|[.:]\w)*)?) --> "%Link";;
-(?:^|\W)([:;=]-?[)\]D*]+|[xX]D+|\^\^|-[._]-|:o?D+|&lt;3) --> "%PosSmiley";;
-(?:^|\W)([:=]-?[(\[/]+|:'\(|;-?\() --> "%NegSmiley";;
-([👍😀😁😂😃😄😅😆😇😉😊😋😌😍😗😘😙😚😸😹😺😻🎉]) --> "%PosSmiley";;
-([😾😿🙀😒😓😖😞😟😠😡😢😣😤😥😦😧😨😩😭😱]) --> "%NegSmiley";;
-([😼😈😏😛😜😝😬]) --> "%IronicSmiley";;
-(?:^|\W)([oO:][-=]?O)(?=\s|$) --> "%Smiley";;
-\.{3}(\.+) --> "";;
-!([!?]+) --> "";;
-([•👉💤]) --> "";;
-"""
+from korpusmill.operators.cleaning import SUSPECT, NoiseCleaner
+from korpusmill.operators.patterns import LOG, RESULT, MapRules, MultiPattern, PatternRules, ReplacementLog, adjust_case, leftmost_longest
 
 #: Small map of colloquial forms (our own examples; callers bring their own).
 SLANG = {"nich": "nicht", "net": "nicht", "nix": "nichts", "is": "ist", "isses": "ist es", "hab": "habe", "haste": "hast du", "gehts": "geht es", "gibts": "gibt es", "wirds": "wird es", "mal": "einmal", "drauf": "darauf", "ma": "einmal", "vllt": "vielleicht", "evtl": "eventuell"}
 
-#: Sequences of misspelled umlauts by context.
-UMLAUT_PATTERNS = [(r"(?<![@AEQÄaeqä])([Uu][Ee])(?![Ii])", 0), (r"(?<![@AEae])([AaOo][Ee])", 0)]
-UMLAUT_OF = {"ae": "ä", "oe": "ö", "ue": "ü", "Ae": "Ä", "Oe": "Ö", "Ue": "Ü", "AE": "Ä", "OE": "Ö", "UE": "Ü", "aE": "ä", "oE": "ö", "uE": "ü"}
+#: Vowels that an e behind them may turn into an umlaut, the letters that forbid it in front and behind (fixed values).
+UMLAUT_OF = {"a": "ä", "o": "ö", "u": "ü"}
+NOT_BEHIND = {"a": "ae@", "o": "ae@", "u": "aeqä@"}
+NOT_BEFORE = {"a": "", "o": "", "u": "i"}
 #: Words in which the sequences are legal (our own short list; callers bring their own).
 UMLAUT_EXCEPTIONS = ["aktuell", "duell", "statue", "neue", "treue", "blaue", "genaue", "poet", "poesie", "koexist", "zuerst", "soeben", "israel", "michael", "raphael", "aero", "samuel", "manuel", "individuell", "sexuell", "virtuell", "eventuell", "manuell", "ritual", "kongruen", "fluen", "quer", "bequem", "zuend", "zuerk", "zuein", "joel", "noel", "oboe", "aloe", "maestro", "dues", "influen", "konsequen"]
 
 
 def clean_noise(text: Column, rules: PatternRules | None = None) -> Column:
-    """Struct (text, log) of the cleaned message."""
-    return (rules or PatternRules.parse(NOISE_RULES.splitlines())).column(text)
+    """Struct (text, log) of the cleaned message: by the scanner, or by the rules of a rule file.
+
+    Messages without anything suspicious never leave the JVM.
+    """
+    if rules is not None:
+        return rules.column(text)
+
+    @F.pandas_udf(RESULT)
+    def run(s: pd.Series) -> pd.DataFrame:
+        cleaner, texts, logs = NoiseCleaner(), [], []
+        for t in s:
+            log = ReplacementLog()
+            texts.append(None if t is None else cleaner.clean(t, log))
+            logs.append(log.entries)
+        return pd.DataFrame({"text": texts, "log": logs})
+
+    suspect = F.when(text.rlike(SUSPECT), text)
+    return F.when(suspect.isNotNull(), run(suspect)).otherwise(F.struct(text.alias("text"), F.array().cast(LOG).alias("log")))
 
 
 def normalize_slang(text: Column, rules: MapRules | None = None) -> Column:
@@ -66,20 +60,34 @@ class UmlautRestorer:
 
     def __init__(self, exceptions: list[str] | None = None, literal: bool = False):
         self.exceptions = MultiPattern([([re.escape(w) for w in sorted(exceptions if exceptions is not None else UMLAUT_EXCEPTIONS, key=len, reverse=True)], 0)])
-        self.found = MultiPattern([([p for p, _ in UMLAUT_PATTERNS], 0)])
         self.literal = literal
 
+    @staticmethod
+    def places(text: str) -> list[int]:
+        """Starts of a vowel and an e that may stand for an umlaut, none inside another."""
+        low, out, at = text.lower(), [], 0
+        if len(low) != len(text):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        while (at := low.find("e", at + 1)) > 0:
+            vowel = low[at - 1]
+            if vowel not in UMLAUT_OF or out and out[-1] > at - 3:
+                continue
+            if (at < 2 or low[at - 2] not in NOT_BEHIND[vowel]) and (at + 1 >= len(low) or low[at + 1] not in NOT_BEFORE[vowel]):
+                out.append(at - 1)
+        return out
+
     def restore(self, text: str, log: ReplacementLog | None = None) -> str:
         held = leftmost_longest(self.exceptions.spans(text.lower())) if len(text.lower()) == len(text) else []
         out, at, shift = [], 0, 0
-        for start, end in self.found.spans(text):
-            if start < at or any(a < end and start < b for a, b in held):
+        for start in self.places(text):
+            if any(a < start + 2 and start < b for a, b in held):
                 continue
-            out += [text[at:start], UMLAUT_OF[text[start:end]]]
+            vowel = text[start]
+            out += [text[at:start], UMLAUT_OF[vowel.lower()].upper() if vowel.isupper() else UMLAUT_OF[vowel]]
             if log is not None:
                 log.update(start if self.literal else start + shift, -1)
             shift -= 1
-            at = end
+            at = start + 2
         return "".join([*out, text[at:]])
 
     def column(self, text: Column, log: Column | None = None) -> Column:
@@ -114,31 +122,53 @@ def is_elongated(word: str) -> bool:
     return bool(THREE.search(word)) and not LEGAL.match(word)
 
 
-def shortenings(word: str, literal: bool = False) -> list[str]:
-    """Sorted spellings with every run shortened to each length up to three.
-
-    ``literal`` leaves out the last one, as the known constant does.
-    """
+def _shortened(word: str):
+    """Every spelling with each run shortened to each length up to three, one after the other."""
     parts, at = [], 0
     for match in RUN.finditer(word):
         run = match.group()[:3]
         parts += [[word[at : match.start()]], [run[:n] for n in range(1, len(run) + 1)]]
         at = match.end()
     parts.append([word[at:]])
-    found = sorted({"".join(p) for p in itertools.product(*parts)})
+    return map("".join, itertools.product(*parts))
+
+
+def shortenings(word: str, literal: bool = False) -> list[str]:
+    """The sorted spellings; ``literal`` leaves out the last one, as the known constant does."""
+    found = sorted(set(_shortened(word)))
     return found[:-1] if literal else found
 
 
 def shortening_rows(words: DataFrame, column: str = "word") -> DataFrame:
-    """(word, candidate) of the distinct elongated words."""
+    """(word, candidate) of the distinct elongated words; a word with very many spellings is written out in pieces."""
     from korpusmill.functions.text import is_elongated as native
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: shortenings(w.lower()))
+    def run(batches):
+        for batch in batches:
+            pairs = ((w, c) for w in batch["word"] for c in _shortened(w.lower()))
+            while part := list(itertools.islice(pairs, 20_000)):
+                yield pd.DataFrame(part, columns=["word", "candidate"])
 
     rows = words.select(F.col(column).alias("word")).where(F.col("word").isNotNull() & native(F.col("word"))).distinct()
-    return rows.select("word", F.explode(run("word")).alias("candidate"))
+    return rows.mapInPandas(run, "word string, candidate string")
+
+
+def known_shortenings(words: DataFrame, dictionary: DataFrame, column: str = "word") -> DataFrame:
+    """(word, candidate): the shortenings that are in the dictionary.
+
+    Words meet on their squeezed spelling and the lengths of their runs are compared, so a word of many
+    runs costs as much as its partners in the dictionary, not as its shortenings.
+    """
+    from korpusmill.functions.text import is_elongated as native
+    from korpusmill.functions.text import squeeze_runs
+
+    lengths = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"([\p{L}])\1*|[^\p{L}]"), F.lit(0)), F.length)
+    key = lambda c: squeeze_runs(F.lower(c))
+    left = words.select(F.col(column).alias("word")).where(F.col("word").isNotNull() & native(F.col("word"))).distinct().withColumn("key", key("word"))
+    right = dictionary.select(F.lower(dictionary.columns[0]).alias("candidate")).where("candidate is not null").distinct().withColumn("key", key("candidate"))
+    pairs = left.join(right, "key").withColumn("a", lengths(F.lower("word"))).withColumn("b", lengths(F.col("candidate")))
+    fits = F.forall(F.zip_with("a", "b", lambda x, y: (x >= y) & (y <= 3)), lambda ok: ok)
+    return pairs.where((F.size("a") == F.size("b")) & fits).select("word", "candidate")
 
 
 def squeeze_elongated(tokens: DataFrame, dictionary: DataFrame, bigrams: DataFrame, unigrams: DataFrame, lengthened: DataFrame) -> DataFrame:
@@ -157,8 +187,7 @@ def squeeze_elongated(tokens: DataFrame, dictionary: DataFrame, bigrams: DataFra
     w = W.partitionBy("doc_id", "sent_id").orderBy("idx")
     near = tokens.withColumn("left", F.coalesce(F.lower(F.lag("form").over(w)), F.lit(BOL))).withColumn("right", F.coalesce(F.lower(F.lead("form").over(w)), F.lit(EOL)))
     long = near.where(F.col("form").isNotNull() & native(F.col("form"))).select("doc_id", "sent_id", "idx", "form", "left", "right")
-    known = dictionary.select(F.lower("word").alias("candidate")).distinct()
-    cands = shortening_rows(long, "form").join(known, "candidate", "left_semi").withColumnRenamed("word", "form")
+    cands = known_shortenings(long, dictionary, "form").withColumnRenamed("word", "form")
     rows = long.join(cands, "form")
     uni = unigram_logprob(unigrams).select(F.col("w").alias("candidate"), F.col("logp").alias("u"))
     floor = unigrams.agg(F.ln(F.lit(0.5) / (F.sum("cnt") + 0.5 * (F.count(F.lit(1)) + 1))).alias("u0"))
@@ -179,9 +208,6 @@ def squeeze_elongated(tokens: DataFrame, dictionary: DataFrame, bigrams: DataFra
 
 # --- misspellings -----------------------------------------------------------------------------------
 
-LEFT, RIGHT = r"(?:(?<=\s)|\A)", r"(?=[-?.!,\s]|\Z)"
-
-
 @dataclass
 class Checks:
     """What the rules may ask: the dictionary and n-gram log-probabilities (without them the dictionary decides alone)."""
@@ -198,24 +224,80 @@ class Checks:
         return p_new >= p_old if or_equal else p_new > p_old
 
 
-def misspelling_rules() -> list[tuple[str, re.Pattern, Callable[[re.Match, Checks, str, str], str | None]]]:
-    """Ordered rules (name, pattern, what a match becomes or None); the order is fixed here."""
+@dataclass(frozen=True)
+class Repair:
+    """A word that ends in ``written`` is taken for one that ends in ``meant``, with ``split`` as a word of its own.
 
-    def rule(name, body, make):
-        return name, re.compile(LEFT + body + RIGHT, re.I), make
+    The word must be unknown and the repaired one known. ``score`` asks whether the n-grams
+    prefer it too: ``>`` or ``>=``. ``bare`` are letters the stem may not end in, ``only`` what it must end in, ``least`` its least length.
+    """
 
-    return [
-        rule("raus", r"(rau(?:f|s\w*)|rum(?!mel)\w*|rüber\w*|runter\w*)", lambda m, c, l, r: adjust_case("he" + m[1], m[1])),
-        rule("article", r"(irgend)?'?(ne[mnrs]?)", lambda m, c, l, r: (m[1] or "") + adjust_case("ei" + m[2], m[2])),
-        rule("xsses", r"([^\W\d_]+s)s(es)", lambda m, c, l, r: f"{m[1]}t {m[2]}" if not c.known(m[0]) and c.known(m[1] + "t") else None),
-        rule("xsser", r"([^\W\d_]+s)s(er)", lambda m, c, l, r: f"{m[1]}t {m[2]}" if not c.known(m[0]) and c.known(m[1] + "t") else None),
-        rule("xste", r"([^\W\d_]+st)e", lambda m, c, l, r: f"{m[1]} du" if not c.known(m[0]) and c.known(m[1]) and c.better(l, m[0], m[1], r, "du") else None),
-        rule("xs", r"([^\W\d_]*[^\W\d_e])s", lambda m, c, l, r: f"{m[1]} es" if not c.known(m[0]) and c.known(m[1]) and c.better(l, m[0], m[1], r) else None),
-        rule("xes", r"([^\W\d_]*[^\W\d_e])'?s", lambda m, c, l, r: f"{m[1]}e es" if not c.known(m[0]) and c.known(m[1] + "e") else None),
-        rule("xn", r"([^\W\d_]+[^\We\d_])n", lambda m, c, l, r: f"{m[1]}en" if not c.known(m[0]) and c.known(m[1] + "en") else None),
-        rule("xt", r"([^\W\d_]+[aeuio])t", lambda m, c, l, r: f"{m[1]}s" if not c.known(m[0]) and c.known(m[1] + "s") else None),
-        rule("xe", r"([^\W\d_]*[^\W\d_e])", lambda m, c, l, r: f"{m[1]}e" if not c.known(m[0]) and c.known(m[1] + "e") and c.better(l, m[0], m[1] + "e", r, or_equal=True) else None),
-    ]
+    name: str
+    written: str
+    meant: str
+    split: str = ""
+    score: str = ""
+    bare: str = ""
+    only: tuple[str, ...] = ()
+    least: int = 1
+
+    def apply(self, word: str, checks: Checks, left: str, right: str) -> str | None:
+        stem = word[: len(word) - len(self.written)]
+        if len(stem) < self.least or not word.isalpha() or word[len(stem) :].lower() != self.written:
+            return None
+        if stem[-1].lower() in self.bare or self.only and not stem.lower().endswith(self.only):
+            return None
+        repaired = stem + self.meant
+        if checks.known(word) or not checks.known(repaired):
+            return None
+        if self.score and not checks.better(left, word, repaired, right, self.split or None, or_equal=self.score == ">="):
+            return None
+        return f"{repaired} {self.split}" if self.split else repaired
+
+
+#: Endings and what is meant by them, in the order in which they are tried (fixed values).
+REPAIRS = (
+    Repair("xsses", "ses", "t", "es", only=("s",), least=2),
+    Repair("xsser", "ser", "t", "er", only=("s",), least=2),
+    Repair("xste", "e", "", "du", score=">", only=("st",), least=3),
+    Repair("xs", "s", "", "es", score=">", bare="e"),
+    Repair("xes", "s", "e", "es", bare="e"),
+    Repair("xn", "n", "en", bare="e", least=2),
+    Repair("xt", "t", "s", only=tuple("aeiou"), least=2),
+    Repair("xe", "", "e", score=">=", bare="e"),
+)
+#: Short forms whose first syllable is missing: beginnings and what they are short for (fixed values).
+CLIPPED = {"rauf": "herauf", "raus": "heraus", "rum": "herum", "rüber": "herüber", "runter": "herunter"}
+ARTICLE_ENDS = ("", "m", "n", "r", "s")
+
+
+def unclipped(word: str) -> str | None:
+    """A clipped direction or article with its first syllable; None for other words."""
+    low = word.lower()
+    stem = next((c for c in CLIPPED if low.startswith(c)), None)
+    if stem and (low == stem or stem != "rauf") and not low.startswith("rummel"):
+        return adjust_case(CLIPPED[stem] + word[len(stem) :], word)
+    head = "irgend" if low.startswith("irgend") else ""
+    rest = low[len(head) :].lstrip("'")
+    if rest[:2] == "ne" and rest[2:] in ARTICLE_ENDS:
+        short = word[len(word) - len(rest) :]
+        return word[: len(head)] + adjust_case("ei" + short, short)
+    return None
+
+
+def repaired(word: str, checks: Checks, left: str, right: str) -> str | None:
+    """The first repair of a word that holds, or None."""
+    whole = unclipped(word)
+    if whole is not None:
+        return whole
+    plain = word[:-2] + word[-1:] if word[-2:-1] == "'" and word[-1:] in "sS" else word  # geht's
+    if plain != word:
+        return REPAIRS[4].apply(plain, checks, left, right)
+    for repair in REPAIRS:
+        new = repair.apply(word, checks, left, right)
+        if new is not None:
+            return new
+    return None
 
 
 class _Asked(Checks):
@@ -237,7 +319,7 @@ class MisspellingRestorer:
     """
 
     def __init__(self, checks: Checks):
-        self.checks, self.rules = checks, misspelling_rules()
+        self.checks = checks
         self.words = re.compile(r"[^\s.,?!-]+")
 
     def correct(self, line: str, log: ReplacementLog | None = None) -> str:
@@ -247,16 +329,13 @@ class MisspellingRestorer:
         for i, match in enumerate(spans):
             left, last = last, match.group()
             right = spans[i + 1].group() if i + 1 < len(spans) else "eol"
-            for _, pattern, make in self.rules:
-                found = pattern.fullmatch(match.group())
-                new = make(found, self.checks, left, right) if found else None
-                if new is not None and new != match.group():
-                    out += [line[at : match.start()], new]
-                    size += match.start() - at + len(new)
-                    if log is not None:
-                        log.update(size, len(new) - len(match.group()))
-                    at, last = match.end(), self.words.findall(new)[-1]
-                    break
+            new = repaired(match.group(), self.checks, left, right)
+            if new is not None and new != match.group():
+                out += [line[at : match.start()], new]
+                size += match.start() - at + len(new)
+                if log is not None:
+                    log.update(size, len(new) - len(match.group()))
+                at, last = match.end(), self.words.findall(new)[-1]
         return "".join([*out, line[at:]])
 
     def asked(self, line: str) -> list[str]:
@@ -264,18 +343,10 @@ class MisspellingRestorer:
         asked, either = _Asked(self.checks.known), Checks(self.checks.known)
         spans, lefts = [m.group() for m in self.words.finditer(line)], {"bol"}
         for word, right in zip(spans, [*spans[1:], "eol"]):
-            lasts = set()
-            for _, pattern, make in self.rules:
-                if not (found := pattern.fullmatch(word)):
-                    continue
-                sure = [make(found, asked, left, right) for left in lefts][0]
-                may = make(found, either, "", right)
-                if may is not None and may != word:
-                    lasts.add(self.words.findall(may)[-1])
-                if sure is not None and sure != word:
-                    break
-            else:
-                lasts.add(word)
+            outcomes = [unclipped(word), *(r.apply(word, either, "", right) for r in REPAIRS), repaired(word, either, "", right)]
+            for left in lefts:
+                repaired(word, asked, left, right)
+            lasts = {word} | {self.words.findall(new)[-1] for new in outcomes if new}
             lefts = lasts
         return sorted(asked.ngrams)
 
@@ -295,46 +366,69 @@ def _ngram_scores(asked: DataFrame, unigrams: DataFrame, bigrams: DataFrame) ->
     return two.unionByName(one).groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("ngram", "logp"))).alias("scores"))
 
 
+def questions(line: str) -> list[str]:
+    """Lower-case words that ``correct`` may look up in the dictionary."""
+    asked: set[str] = set()
+
+    def known(word: str) -> bool:
+        asked.add(word.lower())
+        return False
+
+    checks = Checks(known)
+    for word in re.findall(r"[^\s.,?!-]+", line):
+        repaired(word, checks, "", "")
+    return sorted(asked)
+
+
 def restore_misspellings(df: DataFrame, column: str, dictionary: DataFrame, max_words: int = 500_000, unigrams: DataFrame | None = None, bigrams: DataFrame | None = None) -> DataFrame:
-    """``column`` corrected with a dictionary of checked size that every worker holds.
+    """``column`` corrected with a dictionary.
 
-    With counts of ``unigrams`` (w, cnt) and ``bigrams`` (w1, w2, cnt) the rules also compare
+    A dictionary of up to ``max_words`` words is held by every worker; of a larger one each text gets the
+    words it may ask for by joins. With counts of ``unigrams`` (w, cnt) and ``bigrams`` (w1, w2, cnt) the rules also compare
     the scores of old and new form: the n-grams that a text may ask for are joined to it first,
-    by a hash of the text (texts of one hash share their n-grams, which does no harm).
+    by a hash of the text (texts of one hash share what they ask, which does no harm).
     """
-    words = [r[0] for r in dictionary.select(F.lower(dictionary.columns[0])).distinct().limit(max_words + 1).collect()]
-    if len(words) > max_words:
-        raise ValueError(f"the dictionary has more than {max_words} words; join the candidates instead")
-    shared = df.sparkSession.sparkContext.broadcast(frozenset(words))
-
     if (unigrams is None) != (bigrams is None):
         raise ValueError("n-gram checks need unigrams and bigrams")
+    entries = dictionary.select(F.lower(dictionary.columns[0]).alias("w")).where("w is not null").distinct()
+    words = [r[0] for r in entries.limit(max_words + 1).collect()]
+    held = df.sparkSession.sparkContext.broadcast(frozenset(words)) if len(words) <= max_words else None
+    keyed = df.withColumn("_h", F.xxhash64(column))
 
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        restorer = MisspellingRestorer(Checks(lambda w: w.lower() in shared.value))
-        return s.map(lambda t: None if t is None else restorer.correct(t))
+    def known_by(own):
+        words = held.value if held is not None else frozenset(own if own is not None else ())
+        return lambda w: w.lower() in words
 
-    if unigrams is None:
-        return df.withColumn(column, run(F.col(column)))
+    if held is None:
+
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def looks_up(s: pd.Series) -> pd.Series:
+            return s.map(lambda t: [] if t is None else questions(t))
+
+        asked = keyed.select("_h", F.explode(looks_up(F.col(column))).alias("w")).distinct().join(entries, "w", "left_semi")
+        keyed = keyed.join(asked.groupBy("_h").agg(F.collect_set("w").alias("_known")), "_h", "left")
+    else:
+        keyed = keyed.withColumn("_known", F.lit(None).cast("array<string>"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def asks(s: pd.Series) -> pd.Series:
-        restorer = MisspellingRestorer(Checks(lambda w: w.lower() in shared.value))
-        return s.map(lambda t: [] if t is None else restorer.asked(t))
+    def asks(s: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else MisspellingRestorer(Checks(known_by(k))).asked(t) for t, k in zip(s, own)], dtype=object)
 
     @F.pandas_udf(T.StringType())
-    def check(s: pd.Series, scores: pd.Series) -> pd.Series:
-        def one(t: str, known: dict) -> str:
-            of = dict(known)
-            return MisspellingRestorer(Checks(lambda w: w.lower() in shared.value, of.__getitem__, lambda a, b: of[f"{a} {b}"])).correct(t)
+    def check(s: pd.Series, own: pd.Series, scores: pd.Series) -> pd.Series:
+        def one(t: str, k, found) -> str:
+            of = dict(found) if found is not None else {}
+            grams = (of.__getitem__, lambda a, b: of[f"{a} {b}"]) if of else (None, None)
+            return MisspellingRestorer(Checks(known_by(k), *grams)).correct(t)
 
-        restorer = MisspellingRestorer(Checks(lambda w: w.lower() in shared.value))
-        return pd.Series([None if t is None else restorer.correct(t) if k is None else one(t, k) for t, k in zip(s, scores)], dtype=object)
+        return pd.Series([None if t is None else one(t, k, f) for t, k, f in zip(s, own, scores)], dtype=object)
 
-    keyed = df.withColumn("_h", F.xxhash64(column))
-    scores = _ngram_scores(keyed.select("_h", F.explode(asks(F.col(column))).alias("ngram")).distinct(), unigrams, bigrams)
-    return keyed.join(scores, "_h", "left").withColumn(column, check(F.col(column), F.col("scores"))).drop("_h", "scores")
+    if unigrams is None:
+        keyed = keyed.withColumn("_scores", F.lit(None).cast("map<string,double>"))
+    else:
+        wanted = keyed.select("_h", F.explode(asks(F.col(column), F.col("_known"))).alias("ngram")).distinct()
+        keyed = keyed.join(_ngram_scores(wanted, unigrams, bigrams).withColumnRenamed("scores", "_scores"), "_h", "left")
+    return keyed.withColumn(column, check(F.col(column), F.col("_known"), F.col("_scores"))).drop("_h", "_known", "_scores")
 
 
 # --- dictionary -------------------------------------------------------------------------------------
@@ -376,7 +470,3 @@ def suggestions(words: DataFrame, dictionary: DataFrame, column: str = "word", d
     near = pairs.withColumn("distance", F.levenshtein("word", "suggestion")).where(F.col("distance") <= distance)
     w = W.partitionBy("word").orderBy("distance", "suggestion")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("word", "rank", "suggestion", "distance")
-
-
-def log_floor(n: int, v: int, lam: float = 0.5) -> float:
-    return math.log(lam / (n + lam * (v + 1)))

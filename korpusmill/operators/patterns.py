@@ -1,7 +1,8 @@
 """Rule engines: map replacement, pattern-to-pattern rules, multi-pattern spans, replacement log.
 
 Rules are parsed on the driver and compiled once per Python worker; rows go through
-Arrow-batched functions guarded by a native test where one exists.
+Arrow-batched functions. The syntax of rule files, the order of conflicting matches and the literal
+sweep of spans are fixed by the files that use them.
 """
 
 from __future__ import annotations
@@ -239,10 +240,6 @@ class PatternRules:
             at = end
         return "".join([*out, text[at:]])
 
-    @property
-    def guard(self) -> str | None:
-        return None
-
     def column(self, c: Column) -> Column:
         """Struct of the new text and the log of replacements, per Arrow batch."""
         rules = self

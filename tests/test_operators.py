@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from korpusmill.functions import text as fn
-from korpusmill.operators import annotations, conll, discourse, evaluation, grammar, lexicon, ngrams, noise, patterns, sampling, segments, threads, topics
+from korpusmill.operators import annotations, cleaning, conll, discourse, evaluation, grammar, lexicon, ngrams, noise, patterns, sampling, segments, threads, topics
 
 
 def column(spark, values, f):
@@ -28,12 +28,12 @@ def column(spark, values, f):
     ],
 )
 def test_noise_rules(raw, clean):
-    assert patterns.PatternRules.parse(noise.NOISE_RULES.splitlines()).sub(raw) == clean
+    assert cleaning.NoiseCleaner().clean(raw) == clean
 
 
 def test_replacement_log_places():
     log = patterns.ReplacementLog()
-    text = patterns.PatternRules.parse(noise.NOISE_RULES.splitlines()).sub("sagt @anna dazu :-)", log)
+    text = cleaning.NoiseCleaner().clean("sagt @anna dazu :-)", log)
     for entry in log.entries:
         assert text[entry["offset"] : entry["offset"] + entry["length"]] == entry["replacement"]
     assert [e["num"] for e in log.entries] == list(range(0, 2 * len(log.entries), 2))
