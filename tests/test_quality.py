@@ -92,6 +92,33 @@ def test_separators_are_scored_per_source(spark):
     assert {r["source"]: r["seps"] for r in seps.collect()} == {"a": "|", "b": ";"}
 
 
+def test_separators_that_belong_to_values_are_rejected(spark):
+    decimals = ["3,5|2,75", "10,0", "4,1|3,3|2,0", "7,5|1,25", "8,5"] * 20
+    speeds = ["10 km/h|20 km/h", "5 km/h", "7 km/h;9 km/h", "8 km/h|3 km/h|2 km/h"] * 20
+    lists = ["x,y", "x", "y,z,x", "z", "x,z"] * 20
+    rows = [("t", s, 1000 * at + i, v) for at, (s, values) in enumerate([("a", decimals), ("b", speeds), ("c", lists)]) for i, v in enumerate(values)]
+    fields = spark.createDataFrame(rows, "src_table string, source string, row_key bigint, value string")
+    judged = {(r["source"], r["sep"]): r["accepted"] for r in packed.separator_scores(fields).collect()}
+    assert judged == {("a", ","): False, ("a", "|"): True, ("b", " "): False, ("b", "/"): False, ("b", "|"): True, ("b", ";"): True, ("c", ","): True}
+    got = {}
+    for r in packed.split_packed(fields).orderBy("row_key", "item_pos").collect():
+        got.setdefault(r["row_key"], []).append(r["item_value"])
+    assert got[0] == ["3,5", "2,75"] and got[1] == ["10,0"] and got[1000] == ["10 km/h", "20 km/h"] and got[1002] == ["7 km/h", "9 km/h"] and got[2002] == ["y", "z", "x"]
+
+
+def test_rare_candidates_follow_the_table(spark):
+    rows = [("t", "big", i, v) for i, v in enumerate(["x;y", "x", "y;z"] * 50)] + [("t", "small", 0, "x;z")] + [("u", "one", 0, "a|b")]
+    seps = packed.inferred_separators(spark.createDataFrame(rows, "src_table string, source string, row_key bigint, value string"))
+    assert {r["source"]: r["seps"] for r in seps.collect()}["small"] == ";"
+
+
+def test_spans_use_the_separators_of_their_file(spark):
+    rows = [(i, "f", s) for i, s in enumerate(["word_1;word_2", "word_3", "word_4..word_6;word_8", None, "empty"] * 9)]
+    marks = spark.createDataFrame(rows, "mk_key bigint, file_name string, span string")
+    got = {r["mk_key"]: r["numbers"] for r in packed.span_fields(marks, "mk_key").collect()}
+    assert got[0] == [1, 2] and got[1] == [3] and got[2] == [4, 5, 6, 8] and 3 not in got
+
+
 T1, T2, T3 = dt(2014, 1, 1), dt(2014, 2, 1), dt(2014, 3, 1)
 MK = "mk_key bigint, file_name string, annotator int, anno_level string, markable_id string, span string, sentiment_ref string, emo_expression_ref string, loaded_at timestamp, deleted_at timestamp"
 
