@@ -4,10 +4,12 @@ Competence-and-spamming mixture: annotator j copies the true label with probabil
 theta_j (competence) and otherwise draws from a personal guess distribution xi_j.
 Expectation-maximisation yields the posterior of every item's label, theta and xi.
 
-Items with the same votes are counted together once, so an iteration works on distinct
-vote patterns: votes are joined with the parameters by annotator, likelihoods are summed
-per pattern, expected counts per annotator and label. Nothing is collected; the
-parameters are a small table that is checkpointed per iteration to cut the lineage.
+Items with the same votes are counted together once. A distinct vote pattern is one row with
+its votes as an array; the parameters are a numbered table of closed vocabularies (annotators
+and labels, sizes checked) that goes into the expressions as an array, so a round is one
+pass over the patterns with one small aggregate and no join. Every third round starts from a
+point extrapolated from the two before it (squared extrapolation), which saves most rounds.
+They end when a round moves no parameter by more than ``TOLERANCE``; a fit that does not settle raises.
 
 Defined results: rows without annotator, label or words cast no vote; re-delivered rows
 are one vote; if an annotator gave an item several labels the most frequent one counts,
@@ -16,24 +18,32 @@ then the alphabetically first; ties between labels go to the alphabetically firs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusmill.operators.packed import span_numbers
+from korpusmill.operators.packed import span_fields
 from korpusmill.session import checkpoint
 
 #: Pseudo-counts of the maximisation step.
 SMOOTH_GUESS, SMOOTH_TRUTH = 0.5, 1.0
-#: A label set is a closed vocabulary; more labels than this are refused.
-MAX_LABELS = 100
+#: Labels and annotators are closed vocabularies; more than this are refused.
+MAX_LABELS, MAX_ANNOTATORS = 100, 20_000
+#: Largest change of a parameter at which the fit has settled, and the rounds after which it counts as failed.
+TOLERANCE, MAX_ROUNDS = 1e-4, 600
+#: Patterns in a partition of a round.
+PATTERNS_EACH = 20_000
 
 
 def passage_votes(markables: DataFrame, level: str = "sentiment", attribute: str = "polarity") -> DataFrame:
     """(item, annotator, label) of passages; item is the file and the exact set of words."""
-    words = F.array_sort(F.array_distinct(span_numbers(F.col("span")))).alias("words")
-    rows = markables.where(F.col("anno_level") == level).select("file_name", words, "annotator", "markable_id", F.col("attrs").getItem(attribute).alias("label"))
-    valid = rows.where(F.col("annotator").isNotNull() & F.col("label").isNotNull() & (F.size("words") > 0))
+    marks = markables.where((F.col("anno_level") == level) & F.col("annotator").isNotNull())
+    label = F.col("attrs").getItem(attribute)
+    fields = span_fields(marks.withColumn("_label", label).where(F.col("_label").isNotNull()), "file_name", "annotator", "markable_id", "_label")
+    rows = fields.select("file_name", F.array_sort(F.array_distinct("numbers")).alias("words"), "annotator", "markable_id", F.col("_label").alias("label"))
+    valid = rows.where(F.size("words") > 0)
     # one shuffle by item; the groupings below and that of vote_patterns keep it, and an item has few rows
     placed = valid.select(F.struct("file_name", "words").alias("item"), "annotator", "markable_id", "label").repartition("item")
     once = placed.distinct()  # re-delivered rows differ only in key and times
@@ -46,83 +56,127 @@ def vote_patterns(votes: DataFrame) -> DataFrame:
     return votes.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("votes"))
 
 
-def _labels(patterns: DataFrame) -> list[str]:
-    found = sorted(r["label"] for r in patterns.select(F.explode("votes.label").alias("label")).distinct().limit(MAX_LABELS + 1).collect())
-    if len(found) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+def _vocabulary(patterns: DataFrame, name: str, most: int) -> list:
+    """Sorted values of a field of the votes; refuses what is no closed vocabulary."""
+    found = sorted(r["v"] for r in patterns.select(F.explode(f"votes.{name}").alias("v")).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {name}")
     return found
 
 
-def _posteriors(cast: DataFrame, params: DataFrame, labels: list[str]) -> DataFrame:
-    """Votes with the posterior of each label of their pattern (columns p0, p1, ...)."""
-    rows = cast.join(params, "annotator")
-    guess = F.try_element_at("guess", F.col("label"))
-    likelihood = lambda t: F.ln(F.when(F.col("label") == t, F.col("theta") + (1 - F.col("theta")) * guess).otherwise((1 - F.col("theta")) * guess))
-    w = W.partitionBy("pattern")
-    for i, t in enumerate(labels):
-        rows = rows.withColumn(f"s{i}", F.sum(likelihood(t)).over(w) + F.ln(F.try_element_at("prior", F.lit(t))))
-    top = F.greatest(*[F.col(f"s{i}") for i in range(len(labels))]) if len(labels) > 1 else F.col("s0")
-    rows = rows.withColumns({f"e{i}": F.exp(F.col(f"s{i}") - top) for i in range(len(labels))})
-    total = sum((F.col(f"e{i}") for i in range(1, len(labels))), F.col("e0"))
-    return rows.withColumns({f"p{i}": F.col(f"e{i}") / total for i in range(len(labels))}).withColumn("guess_own", guess)
+def _array(values: np.ndarray) -> str:
+    """A numeric array as SQL text; it becomes one literal, so the compiled code is the same in every round."""
+    return "array(" + ", ".join(f"{x!r}D" for x in np.asarray(values, dtype=float).ravel().tolist()) + ")"
+
+
+class _Parameters:
+    """Competence (A), guesses (A, L) and prior (L) of a mixture over A annotators and L labels."""
+
+    def __init__(self, theta: np.ndarray, guess: np.ndarray, prior: np.ndarray):
+        self.theta, self.guess, self.prior = theta, guess, prior
+
+    def moved(self, other: _Parameters) -> float:
+        return max(float(np.abs(a - b).max()) for a, b in ((self.theta, other.theta), (self.guess, other.guess), (self.prior, other.prior)))
+
+    def posterior(self, cells: str = "cells") -> Column:
+        """Array of the posterior of each label for votes coded as annotator * L + label.
+
+        Written as text, one call instead of hundreds; ``transform(array(x), v -> ...)[0]`` names a value that is used more than once.
+        """
+        n = len(self.prior)
+        given = (1 - self.theta[:, None]) * self.guess
+        base, gain, prior = _array(np.log(given)), _array(np.log(self.theta[:, None] + given) - np.log(given)), _array(np.log(self.prior))
+        every = f"aggregate({cells}, 0D, (a, c) -> a + get({base}, c))"
+        label = f"aggregate(filter({cells}, c -> c % {n} = t), every, (a, c) -> a + get({gain}, c)) + get({prior}, t)"
+        scores = f"get(transform(array({every}), every -> transform(sequence(0, {n - 1}), t -> {label})), 0)"
+        powers = f"get(transform(array({scores}), s -> transform(s, x -> exp(x - array_max(s)))), 0)"
+        return F.expr(f"get(transform(array({powers}), p -> transform(p, x -> x / aggregate(p, 0D, (a, y) -> a + y))), 0)")
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.theta, self.guess.ravel(), self.prior])
+
+    def like(self, flat: np.ndarray) -> _Parameters:
+        """Parameters from their flat form, brought back to probabilities."""
+        a, n = self.guess.shape
+        flat = np.clip(flat, 1e-9, None)
+        guess, prior = flat[a : a + a * n].reshape(a, n), flat[a + a * n :]
+        return _Parameters(np.minimum(flat[:a], 1 - 1e-9), guess / guess.sum(axis=1, keepdims=True), prior / prior.sum())
 
 
-def _of_label(labels: list[str]):
-    col = F.lit(0.0)
-    for i, t in enumerate(labels):
-        col = F.when(F.col("label") == t, F.col(f"p{i}")).otherwise(col)
-    return col
+def _extrapolated(x0: _Parameters, x1: _Parameters, x2: _Parameters) -> _Parameters:
+    """Squared extrapolation from three successive points of the iteration."""
+    r = x1.flat() - x0.flat()
+    v = x2.flat() - x1.flat() - r
+    size = float(np.sqrt((v * v).sum()))
+    step = min(-1.0, -float(np.sqrt((r * r).sum())) / size) if size > 0 else -1.0
+    return x0.like(x0.flat() - 2 * step * r + step * step * v)
 
 
-def _maximise(rows: DataFrame, labels: list[str]) -> DataFrame:
-    """(annotator, theta, guess, prior) of the next round from one pass over the votes.
+def _maximised(patterns: DataFrame, now: _Parameters) -> _Parameters:
+    """Parameters of the next round: one aggregate of one row per vote cell over the patterns.
 
-    A pattern's posterior counts towards the prior in equal parts through its k votes, so
-    the sums per annotator hold the prior as well; what is left to sum up after
-    that is one row per annotator.
+    ``patterns`` has n (items), k (votes) and cells. A pattern's posterior counts towards the
+    prior in equal parts through its votes, so the sums per cell hold the prior as well.
     """
-    own = _of_label(labels)
-    truthful = own * F.col("theta") / (F.col("theta") + (1 - F.col("theta")) * F.col("guess_own"))
-    mass = [F.sum(F.col("n") * F.col(f"p{i}") / F.col("k")).alias(f"q{i}") for i in range(len(labels))]
-    spam = F.col("n") * (1 - truthful)
-    drawn = [F.sum(F.when(F.col("label") == t, spam).otherwise(0.0)).alias(f"g{i}") for i, t in enumerate(labels)]
-    merged = rows.groupBy("annotator").agg(F.sum(F.col("n") * truthful).alias("truth"), F.sum(spam).alias("spam"), *drawn, *mass)
-    total = merged.agg(*[F.sum(f"q{i}").alias(f"t{i}") for i in range(len(labels))])
-    names = F.array(*map(F.lit, labels))
-    guesses = F.map_from_arrays(names, F.array(*[(F.col(f"g{i}") + SMOOTH_GUESS) / (F.col("spam") + SMOOTH_GUESS * len(labels)) for i in range(len(labels))]))
-    all_mass = sum((F.col(f"t{i}") for i in range(1, len(labels))), F.col("t0"))
-    prior = F.map_from_arrays(names, F.array(*[(F.col(f"t{i}") + 1.0) / (all_mass + len(labels)) for i in range(len(labels))]))
-    theta = (F.col("truth") + SMOOTH_TRUTH) / (F.col("truth") + F.col("spam") + 2 * SMOOTH_TRUTH)
-    return merged.crossJoin(F.broadcast(total)).select("annotator", theta.alias("theta"), guesses.alias("guess"), prior.alias("prior"))  # total is one row
+    n = len(now.prior)
+    honest = now.theta[:, None] / (now.theta[:, None] + (1 - now.theta[:, None]) * now.guess)
+    scored = patterns.select("n", "k", "cells", now.posterior().alias("p"))
+    mass = ", ".join(f"sum(n / k * get(p, {t}))" for t in range(n))
+    sums = scored.selectExpr("n", "k", "p", "explode(cells) AS cell").groupBy("cell").agg(F.expr(f"array(sum(n), sum(n * get(p, cell % {n})), {mass}) AS sums"))
+    votes, own, mass = np.zeros(now.guess.size), np.zeros(now.guess.size), np.zeros(n)
+    for row in sums.collect():  # at most annotators x labels rows
+        votes[row["cell"]], own[row["cell"]] = row["sums"][:2]
+        mass += row["sums"][2:]
+    truth = own.reshape(now.guess.shape) * honest
+    spam = votes.reshape(now.guess.shape) - truth
+    theta = (truth.sum(axis=1) + SMOOTH_TRUTH) / (truth.sum(axis=1) + spam.sum(axis=1) + 2 * SMOOTH_TRUTH)
+    guess = (spam + SMOOTH_GUESS) / (spam.sum(axis=1, keepdims=True) + SMOOTH_GUESS * n)
+    return _Parameters(theta, guess, (mass + 1.0) / (mass.sum() + n))
 
 
 class Consensus:
     """A fitted mixture: ``items`` with consensus, ``annotators`` with reliability."""
 
-    def __init__(self, votes: DataFrame, iterations: int = 15):
+    def __init__(self, votes: DataFrame):
         self.patterns = checkpoint(vote_patterns(votes))
-        self.labels = _labels(self.patterns)
+        self.labels = _vocabulary(self.patterns, "label", MAX_LABELS)
+        self.rounds = 0
         if not self.labels:
             self.items = self.patterns.select("item", F.lit(0).alias("n_annotators"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("agreement")).limit(0)
             self.annotators = votes.select("annotator", F.lit(0.0).alias("competence"), F.lit(None).cast("map<string,double>").alias("guess")).limit(0)
             return
-        grouped = self.patterns.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).withColumn("pattern", F.xxhash64("votes"))
-        cast = checkpoint(grouped.select("pattern", "n", F.size("votes").alias("k"), F.inline("votes")).repartition("pattern"))
-        even = F.create_map(*[x for t in self.labels for x in (F.lit(t), F.lit(1.0 / len(self.labels)))])
-        params = cast.select("annotator").distinct().select("annotator", F.lit(0.6).alias("theta"), even.alias("guess"), even.alias("prior"))
-        for _ in range(iterations):
-            params = checkpoint(_maximise(_posteriors(cast, params, self.labels), self.labels))
-        final = _posteriors(cast, params, self.labels)
-        best = F.array_max(F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.lit(-i).alias("o"), F.lit(t).alias("label")) for i, t in enumerate(self.labels)]))
-        verdict = final.groupBy("pattern").agg(F.first(best).alias("b"))
+        people, n = _vocabulary(self.patterns, "annotator", MAX_ANNOTATORS), len(self.labels)
+        number = lambda values: F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
+        of_person, of_label = number(people), number(self.labels)
+        cells = F.transform("votes", lambda v: of_person[v["annotator"]] * n + of_label[v["label"]])
+        coded = self.patterns.select("item", "votes", cells.alias("cells"))
+        grouped = checkpoint(coded.groupBy("cells").agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("k", F.size("cells").cast("double")))
+        grouped = grouped.coalesce(max(1, math.ceil(grouped.count() / PATTERNS_EACH))).persist()
+        path = [_Parameters(np.full(len(people), 0.6), np.full((len(people), n), 1.0 / n), np.full(n, 1.0 / n))]
+        while True:
+            path.append(_maximised(grouped, path[-1]))
+            self.rounds += 1
+            if (moved := path[-1].moved(path[-2])) <= TOLERANCE:
+                break
+            if self.rounds >= MAX_ROUNDS:
+                raise ValueError(f"parameters still move by {moved} after {MAX_ROUNDS} rounds")
+            if len(path) == 3:
+                path = [_maximised(grouped, _extrapolated(*path))]
+                self.rounds += 1
+        now = path[-1]
+        grouped.unpersist()
+        judged = coded.select("item", "votes", now.posterior().alias("p"))
+        best = F.array_max(F.transform("p", lambda p, i: F.struct(p.alias("p"), (-i).alias("o"))))  # ties go to the first label
         total = F.size("votes")
         given = lambda t: F.size(F.filter("votes", lambda v: v["label"] == t))
         same = F.aggregate(F.array(*map(given, self.labels)), F.lit(0), lambda a, x: a + x * (x - 1))
-        self.items = self.patterns.withColumn("pattern", F.xxhash64("votes")).join(verdict, "pattern").select(
-            "item", total.alias("n_annotators"), F.col("b.label").alias("label"), F.round("b.p", 6).alias("confidence"),
+        self.items = judged.withColumn("b", best).select(
+            "item", total.alias("n_annotators"), F.get(F.array(*map(F.lit, self.labels)), -F.col("b.o")).alias("label"), F.round("b.p", 6).alias("confidence"),
             F.round(F.when(total > 1, same / (total * (total - 1))), 6).alias("agreement"),
         )
-        self.annotators = params.select("annotator", F.round("theta", 6).alias("competence"), "guess")
+        kind = votes.schema["annotator"].dataType.simpleString()
+        rows = [(a, round(float(now.theta[i]), 6), {t: float(g) for t, g in zip(self.labels, now.guess[i])}) for i, a in enumerate(people)]
+        self.annotators = votes.sparkSession.createDataFrame(rows, f"annotator {kind}, competence double, guess map<string,double>")
 
 
 def consensus_passages(markables: DataFrame, least_annotators: int = 3) -> DataFrame:

@@ -48,6 +48,54 @@ def test_consensus_beats_the_majority(spark):
     assert guesses[5]["positive"] > 0.9 and guesses[6]["comparison"] < 0.1
 
 
+def by_numpy(rows, rounds):
+    """The same mixture, vote by vote."""
+    import numpy as np
+
+    votes = {}
+    for r in {(r[2], r[4], r[6]["polarity"]) for r in rows}:
+        votes.setdefault(r[1], {})[r[0]] = LABELS.index(r[2])
+    people, n = sorted({a for v in votes.values() for a in v}), len(LABELS)
+    theta, guess, prior = {a: 0.6 for a in people}, {a: np.full(n, 1 / n) for a in people}, np.full(n, 1 / n)
+    for _ in range(rounds):
+        truth, spam, drawn, mass = dict.fromkeys(people, 0.0), dict.fromkeys(people, 0.0), {a: np.zeros(n) for a in people}, np.zeros(n)
+        posts = {}
+        for i, v in votes.items():
+            p = prior.copy()
+            for a, l in v.items():
+                p *= (1 - theta[a]) * guess[a][l] + theta[a] * (np.arange(n) == l)
+            posts[i] = p = p / p.sum()
+            mass += p
+            for a, l in v.items():
+                t = p[l] * theta[a] / (theta[a] + (1 - theta[a]) * guess[a][l])
+                truth[a] += t
+                spam[a] += 1 - t
+                drawn[a][l] += 1 - t
+        theta = {a: (truth[a] + 1) / (truth[a] + spam[a] + 2) for a in people}
+        guess = {a: (drawn[a] + 0.5) / (spam[a] + 0.5 * n) for a in people}
+        prior = (mass + 1) / (mass.sum() + n)
+    return theta, {i: LABELS[int(p.argmax())] for i, p in posts.items()}
+
+
+def test_same_as_vote_by_vote(spark):
+    _, rows = simulated(seed=5, items=150)
+    fitted = consensus.Consensus(consensus.passage_votes(spark.createDataFrame(rows, MK)))
+    theta, labels = by_numpy(rows, 3000)
+    got = {r["annotator"]: r["competence"] for r in fitted.annotators.collect()}
+    assert got.keys() == theta.keys() and all(abs(got[a] - theta[a]) < 1e-3 for a in theta)
+    mine = {f"m{r['item']['words'][0] // 3}": r["label"] for r in fitted.items.collect()}
+    assert sum(mine[i] != labels[i] for i in labels) <= 1  # a tie may fall otherwise
+
+
+def test_a_fit_that_does_not_settle_raises(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(consensus, "MAX_ROUNDS", 1)
+    votes = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "y"), ("b", 2, "x"), ("c", 1, "x")], "item string, annotator int, label string")
+    with pytest.raises(ValueError):
+        consensus.Consensus(votes)
+
+
 def test_edge_cases(spark):
     rows = [
         (1, "f", None, "sentiment", "m1", "word_1", {"polarity": "positive"}, None, None), (2, "f", 1, "sentiment", "m1", None, {"polarity": "positive"}, None, None),
