@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from korpusmill.llm.mojibake import garbled_forms
 
 #: Strings made of these characters only are canonical already (Java regular expression class).
-CANONICAL = r"^[\x21-\x7EÀ-ÖØ-öø-ÿŒœ“„–]*$"
+CANONICAL = r"\A[\x21-\x7EÀ-ÖØ-öø-ÿŒœ“„–]*\z"
 
 #: Look-alike letters: Latin, Cyrillic and Greek columns; a blank means that the script has none.
 LOOK_ALIKES = """
@@ -96,12 +96,19 @@ def canon_sql(source: str = "batch", value: str = "value") -> str:
     """The embedded statement: ``source`` with a column ``canon`` added."""
     wide = "".join(chr(0xFEE0 + ord(c)) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
     plain = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    joiner, kept, mark = "‍", "\U000f0001", "\U000f0002"
+    joiner, escape, kept, mark = "‍", "\U000f0000", "\U000f0001", "\U000f0002"
+    # marks that a text holds itself are written with an escape mark while the statement uses them
+    written = [(escape, escape + "\U000f0004"), (kept, escape + "\U000f0005"), (mark, escape + "\U000f0006")]
+    escaped, unescaped = value, "canon"
+    for a, b in written:
+        escaped = f"replace({escaped}, {_quote(a)}, {_quote(b)})"
+    for a, b in reversed(written):
+        unescaped = f"replace({unescaped}, {_quote(b)}, {_quote(a)})"
     emoji = r"[\p{So}\x{1F3FB}-\x{1F3FF}\x{FE0F}\x{2640}\x{2642}]"
     to = {k: (_quote(a), _quote(b)) for k, (a, b) in look_alike_tables().items()}
     return rf"""
     WITH bare AS (
-      SELECT *, regexp_replace({value}, '[{INVISIBLE}]', '', 'g') AS s0 FROM {source}
+      SELECT *, regexp_replace({escaped}, '[{INVISIBLE}]', '', 'g') AS s0 FROM {source}
     ), joined AS (
       SELECT *, regexp_replace(regexp_replace(s0, '({emoji}){joiner}({emoji})', '\1{kept}\2', 'g'), '({emoji}){joiner}({emoji})', '\1{kept}\2', 'g') AS s1 FROM bare
     ), stripped AS (
@@ -117,11 +124,11 @@ def canon_sql(source: str = "batch", value: str = "value") -> str:
       SELECT *, NOT regexp_matches(t_l, '[\p{{Cyrillic}}\p{{Greek}}]') AS p_l, NOT regexp_matches(t_c, '[\p{{Latin}}\p{{Greek}}]') AS p_c,
         NOT regexp_matches(t_g, '[\p{{Latin}}\p{{Cyrillic}}]') AS p_g, n_l >= n_c AND n_l >= n_g AS m_l, n_c >= n_g AS m_c FROM counted
     )
-    SELECT * EXCLUDE (s3, n_l, n_c, n_g, t_l, t_c, t_g, p_l, p_c, p_g, m_l, m_c), nfc_normalize(CASE
+    SELECT * EXCLUDE (canon), {unescaped} AS canon FROM (SELECT * EXCLUDE (s3, n_l, n_c, n_g, t_l, t_c, t_g, p_l, p_c, p_g, m_l, m_c), nfc_normalize(CASE
       WHEN (n_l > 0)::INT + (n_c > 0)::INT + (n_g > 0)::INT < 2 THEN s3
       WHEN m_l AND p_l THEN t_l WHEN NOT m_l AND m_c AND p_c THEN t_c WHEN NOT m_l AND NOT m_c AND p_g THEN t_g
       WHEN p_l THEN t_l WHEN p_c THEN t_c WHEN p_g THEN t_g WHEN m_l THEN t_l WHEN m_c THEN t_c ELSE t_g END) AS canon
-    FROM pure"""
+    FROM pure)"""
 
 
 @lru_cache(maxsize=1)

@@ -3,14 +3,15 @@
 The garbled sequence of every target character under every encoding pair is
 precomputed and put into one multi-pattern (Aho-Corasick) automaton. Matched
 spans are replaced, everything else in the string stays untouched; passes repeat
-until nothing matches, which undoes double garbling.
+until nothing matches, which undoes garbling of any depth (every pass shortens the text).
+Words are judged one by one, so an odd word does not keep another from being restored.
 
 Two families of pairs are known:
 
 * *multi-byte*: UTF-8 bytes read as a one-byte code page. Their sequences hardly
   occur in clean text and are accepted where the outcome is plausible.
 * *one-byte*: Latin-1 bytes read as another one-byte code page. Such a sequence is a
-  single character that may stand in clean text too, so these are only proposals:
+  single character that may stand in clean text too, so the matched spans are only proposals, one per page:
   a proposal wins if the corpus (counts over all tokens) knows the restored word
   better than the written one.
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 LOST = "�"
 #: Code pages that UTF-8 bytes are mistaken for.
 UTF8_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251")
-#: Code pages that Latin-1 bytes are mistaken for.
-LATIN1_AS = ("cp437", "mac_roman")
+#: Code pages that Latin-1 bytes are mistaken for: all of these but the two that read its letters right.
+LATIN1_AS = tuple(page for page in UTF8_AS if page not in ("cp1252", "latin-1"))
 #: Code point ranges whose characters may have been garbled; of equal sequences the earlier range counts.
 TARGETS = (
     (0x00A0, 0x017F), (0x0192, 0x0192), (0x0218, 0x021B), (0x02B0, 0x02FF), (0x0300, 0x036F), (0x0370, 0x03FF), (0x0400, 0x045F), (0x1E00, 0x1EFF), (0x200B, 0x2044),
@@ -59,10 +60,16 @@ def _decode(raw: bytes, page: str) -> str | None:
 
 @lru_cache(maxsize=1)
 def automaton():
-    """Aho-Corasick automaton of the multi-byte pairs: garbled sequence -> original character."""
+    """Aho-Corasick automaton of all pairs: garbled sequence -> original of the multi-byte pairs, originals by page of the one-byte pairs."""
     import ahocorasick
 
     found: dict[str, str] = {}
+    single: dict[str, dict[str, str]] = {}
+    for page in LATIN1_AS:
+        for char in LATIN1_TARGETS:
+            garbled = _decode(char.encode("latin-1"), page)
+            if garbled and garbled != char:
+                single.setdefault(garbled, {})[page] = char
     for low, high in TARGETS:
         for point in range(low, high + 1):
             char = chr(point)
@@ -72,8 +79,8 @@ def automaton():
                 if garbled and garbled != char:
                     found.setdefault(garbled, char)
     auto = ahocorasick.Automaton()
-    for garbled, char in found.items():
-        auto.add_word(garbled, (len(garbled), char))
+    for garbled in found.keys() | single.keys():
+        auto.add_word(garbled, (len(garbled), found.get(garbled), single.get(garbled, {})))
     auto.make_automaton()
     return auto
 
@@ -89,60 +96,64 @@ def _script(char: str) -> str:
     return "L"
 
 
-def _plausible(text: str) -> bool:
-    """No word may mix scripts after restoring, and a superscript may not stand before a letter."""
-    scripts = {s for s in map(_script, text) if s}
-    if len(scripts) > 1:
-        return False
-    for i, char in enumerate(text[:-1]):
-        if char in "¹²³" and text[i + 1].isalpha():
-            return False
-    return True
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _mixed(text: str) -> bool:
+    """Whether a run of letters mixes scripts."""
+    return any(len({_script(c) for c in run} - {""}) > 1 for run in _LETTERS.findall(text))
 
 
-def replace_spans(text: str) -> str:
-    """One pass: leftmost-longest garbled spans are replaced, other text is kept."""
+def _raised(text: str) -> int:
+    """Superscripts in front of a letter."""
+    return sum(a in "¹²³" and b.isalpha() for a, b in zip(text, text[1:]))
+
+
+def _plausible(old: str, new: str) -> bool:
+    """No letters of different scripts may stand together after restoring, and no new superscript before a letter."""
+    return not _mixed(new) and _raised(new) <= _raised(old)
+
+
+def replace_spans(text: str, page: str | None = None) -> str:
+    """One pass: leftmost-longest garbled spans are replaced, other text is kept.
+
+    Without ``page`` by the multi-byte pairs, else by the one-byte pair of that page.
+    """
     best: dict[int, tuple[int, str]] = {}
-    for end, (length, char) in automaton().iter(text):
+    for end, (length, char, pages) in automaton().iter(text):
+        new = char if page is None else pages.get(page)
         start = end - length + 1
-        if start not in best or best[start][0] < length:
-            best[start] = (length, char)
+        if new is not None and (start not in best or best[start][0] < length):
+            best[start] = (length, new)
     if not best:
         return text
     out, at = [], 0
-    while at < len(text):
-        if at in best:
-            length, char = best[at]
-            out.append(char)
-            at += length
-        else:
-            out.append(text[at])
-            at += 1
-    return "".join(out)
+    for start in sorted(best):
+        if start < at:
+            continue
+        length, char = best[start]
+        out += [text[at:start], char]
+        at = start + length
+    return "".join([*out, text[at:]])
+
+
+_BLANKS = re.compile(r"([ \t\r\n]+)")
 
 
-def restore_multibyte(text: str, passes: int = 4) -> str:
-    """Undo the multi-byte pairs until nothing changes; implausible outcomes are refused."""
-    original = text
-    for _ in range(passes):
-        new = replace_spans(text)
-        if new == text:
-            break
+def _restore_word(word: str) -> str:
+    if word.isascii():
+        return word
+    text = word
+    while (new := replace_spans(text)) != text:
         text = new
-    return text if text != original and _plausible(text) else original
+    return text if _plausible(word, text) else word
 
 
-@lru_cache(maxsize=1)
-def _single() -> list[tuple[str, dict[int, str]]]:
-    tables = []
-    for page in LATIN1_AS:
-        table = {}
-        for char in LATIN1_TARGETS:
-            garbled = _decode(char.encode("latin-1"), page)
-            if garbled and garbled != char:
-                table[ord(garbled)] = char
-        tables.append((page, table))
-    return tables
+def restore_multibyte(text: str) -> str:
+    """Undo the multi-byte pairs until nothing changes; words with an implausible outcome stay."""
+    if text.isascii():
+        return text
+    return "".join(map(_restore_word, _BLANKS.split(text)))
 
 
 _WORDISH = re.compile(r"[A-Za-z]")
@@ -157,13 +168,11 @@ def proposals(text: str) -> list[tuple[str, str]]:
     fixed = restore_multibyte(text)
     if fixed != text:
         return [("sure", "" if LOST in fixed else fixed)]
-    out = []
-    for _, table in _single():
-        new = text.translate(table)
-        if new != text and _plausible(new) and (len(text) == 1 or _WORDISH.search(text)):
-            strange = [c for c in text if ord(c) in table and not (c.isalpha() and _script(c) == "L")]
-            out.append(("strange" if strange else "letter", new))
-    return out
+    if len(text) > 1 and not _WORDISH.search(text):
+        return []
+    found = {p for _, (length, _, pages) in automaton().iter(text) for p in pages}
+    made = {replace_spans(text, page) for page in LATIN1_AS if page in found}
+    return [("open", new) for new in sorted(made - {text}) if _plausible(text, new)]
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

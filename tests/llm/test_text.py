@@ -38,6 +38,31 @@ def test_mixed_text_keeps_its_correct_part():
     assert mojibake.restore_multibyte("schön und grÃ¼n") == "schön und grün"
 
 
+@pytest.mark.parametrize("raw, good", [("привет fÃ¼r", "привет für"), ("m²a fÃ¼r", "m²a für"), ("привет/fÃ¼r", "привет/für"), ("ДÐ´", "Дд"), ("grÃ¼n\nund schÃ¶n", "grün\nund schön")])
+def test_words_are_judged_one_by_one(raw, good):
+    assert mojibake.restore_multibyte(raw) == good
+
+
+@pytest.mark.parametrize("times", range(1, 8))
+def test_garbling_of_any_depth(times):
+    text = "ä"
+    for _ in range(times):
+        text = mojibake._decode(text.encode("utf-8"), "cp1252")
+    assert mojibake.restore_multibyte(text) == "ä"
+
+
+@pytest.mark.parametrize("page", mojibake.LATIN1_AS)
+def test_every_one_byte_pair_is_proposed(page):
+    for word in ("Möhren", "für", "señor", "São"):
+        garbled = mojibake._decode(word.encode("latin-1"), page)
+        if garbled and garbled != word:
+            assert word in [new for _, new in mojibake.proposals(garbled)]
+
+
+def test_one_byte_pairs_replace_matched_spans_only():
+    assert mojibake.replace_spans("M÷hren ist 5", "cp437") == "Möhren ist 5"
+
+
 def words_frame(spark, forms):
     return spark.createDataFrame([(i, f, f) for i, f in enumerate(forms)], "tok_id bigint, form string, lemma string").withColumn("n", F.lit("clash")).withColumn("kind", F.lit(1))
 
@@ -65,6 +90,12 @@ def test_canon_rules(raw, plain):
     assert con.execute(f"SELECT canon FROM ({canon.canon_sql()})").fetchone()[0] == plain
 
 
+@pytest.mark.parametrize("raw, good", [("Wort\n", "Wort"), ("Wort\u0085", "Wort"), ("\u2028Wort", "Wort"), ("a\U000f0001b\u200b", "a\U000f0001b"), ("\U000f0000\U000f0002ｘ", "\U000f0000\U000f0002x"), ("\U000f0000\U000f0005\u200b", "\U000f0000\U000f0005")])
+def test_line_ends_and_private_characters(spark, raw, good):
+    rows = {(r["field_name"], r["canon"]) for r in canon.canonical_spelling(words_frame(spark, [raw])).collect()}
+    assert rows == {("form", good), ("lemma", good)}
+
+
 def test_canonical_tokens(spark):
     forms = ["die​", "die", None, "", "prÃ¼ft", "ｄｉｅ", "ｄｉｅ", "​" * 20_000 + "x"]
     rows = {(r["tok_id"], r["field_name"]): r["canon"] for r in canon.canonical_tokens(words_frame(spark, forms)).collect()}
