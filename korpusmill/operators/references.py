@@ -58,10 +58,10 @@ def _kind():
 
 
 def word_blocks(words: DataFrame) -> DataFrame:
-    """(file_name, block, words): states of up to 64 words by number; one shuffle for both groupings."""
-    placed = words.where("word_id is not null").select("file_name", F.shiftright("word_id", BLOCK_BITS).alias("block"), "word_id", "loaded_at", "deleted_at").repartition("file_name", "block")
-    state = _state(placed, ["file_name", "block", "word_id"])
-    return state.groupBy("file_name", "block").agg(F.map_from_entries(F.collect_list(F.struct("word_id", F.struct("first_loaded", "all_deleted")))).alias("words"))
+    """(file_name, block, words): states of up to 64 words by number; repeated rows of a word combine before they move."""
+    state = _state(words.where("word_id is not null").select("file_name", "word_id", "loaded_at", "deleted_at"), ["file_name", "word_id"])
+    placed = state.groupBy("file_name", F.shiftright("word_id", BLOCK_BITS).alias("block"))
+    return placed.agg(F.map_from_entries(F.collect_list(F.struct("word_id", F.struct("first_loaded", "all_deleted")))).alias("words"))
 
 
 def span_orphans(live: DataFrame, words: DataFrame) -> DataFrame:
