@@ -44,10 +44,9 @@ def passage_votes(markables: DataFrame, level: str = "sentiment", attribute: str
     fields = span_fields(marks.withColumn("_label", label).where(F.col("_label").isNotNull()), "file_name", "annotator", "markable_id", "_label")
     rows = fields.select("file_name", F.array_sort(F.array_distinct("numbers")).alias("words"), "annotator", "markable_id", F.col("_label").alias("label"))
     valid = rows.where(F.size("words") > 0)
-    # one shuffle by item; the groupings below and that of vote_patterns keep it, and an item has few rows
-    placed = valid.select(F.struct("file_name", "words").alias("item"), "annotator", "markable_id", "label").repartition("item")
-    once = placed.distinct()  # re-delivered rows differ only in key and times
-    per = once.groupBy("item", "annotator", "label").agg(F.count(F.lit(1)).alias("n"))
+    # re-delivered rows and equal labels of an item combine before they move; after that an item has a row per annotator and label
+    once = valid.select(F.struct("file_name", "words").alias("item"), "annotator", "markable_id", "label").distinct()
+    per = once.groupBy("item", "annotator", "label").agg(F.count(F.lit(1)).alias("n")).repartition("item")
     return per.groupBy("item", "annotator").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
 
 
