@@ -4,12 +4,12 @@ MinHash containment search with size partitioning: documents of any length are
 partitioned into windows of 13 words, all of one size (9 shingles of five words), as are
 the test items. A window that an item and a document share has containment 1 in a set of
 its own size, so its Jaccard similarity is 1 and one MinHash row per window finds it
-without a miss, however long the document around it is. The items' MinHash values go into a
-Bloom filter of bounded size that every worker holds. A document's windows that hit it are
-verified: first against a second such filter of the fingerprints of the items' windows,
-then exactly, by joining the words of the windows themselves. The corpus is read once and
-only windows that pass are shuffled. A filter that is too small for very many items only
-lets more windows through, never fewer.
+without a miss, however long the document around it is. Candidates come from the MinHash
+values alone: the items' values go into a Bloom filter of bounded size that every worker
+holds, a document's windows that pass it are joined to the items' windows by MinHash
+value, and a candidate counts if all shingles of the two windows are equal in order, which
+is compared on their words. The corpus is read once and only windows that pass are shuffled. A
+filter that is too small for very many items only lets more windows through, never fewer.
 
 Defined results: null, empty and short texts (under 13 words) have no windows; copies of
 a document are reported each; items that share a sentence are reported each.
@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusmill.llm.windows import blocks, gram_hashes, window_minhash
+from korpusmill.llm.windows import blocks, window_minhash
+from korpusmill.session import checkpoint
 
 WINDOW, SHINGLE = 13, 5
 _WORDS: dict[str, int] = {}
@@ -93,17 +94,16 @@ def _probes(values: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def signature_filter(values: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, words) of a Bloom filter over the distinct values of a column; at most 2^26 bits reach the driver."""
+    """(bits, words) of a Bloom filter over the distinct values of a column; at most 2^26 bits reach the driver, as columns."""
     hashes = values.toDF("h").distinct()
     n = hashes.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n - 1).bit_length() if n else 0))
     mask = (1 << bits) - 1
     places = F.array(*[F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(mask)) for shift in (0, 19, 38)])
     bit = hashes.select(F.explode(places).alias("p"))
-    words = bit.groupBy(F.shiftright("p", 5).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 AS INT)))").alias("b"))
+    words = bit.groupBy(F.shiftright("p", 5).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 AS INT)))").alias("b")).toArrow()
     table = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    for row in words.toLocalIterator():
-        table[row["w"]] = row["b"]
+    table[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
     return bits, table
 
 
@@ -115,8 +115,8 @@ def _hits(values: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
 
 
 def _windows(key: str, shared=None):
-    """(key, minhash, mark, win): MinHash, fingerprint and words of windows, of those that pass the shared filters if there are any."""
-    schema = pa.schema([(key, pa.int64()), ("minhash", pa.int64()), ("mark", pa.int64()), ("win", pa.string())])
+    """(key, minhash, win): MinHash and words of windows, of those that pass the shared filter if there is one."""
+    schema = pa.schema([(key, pa.int64()), ("minhash", pa.int64()), ("win", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,40 +126,40 @@ def _windows(key: str, shared=None):
                 for values, owner, place, starts in blocks([_codes(w) for w in words], WINDOW):
                     low = window_minhash(values, WINDOW, SHINGLE)
                     keep = starts[: len(low)]
-                    marks = gram_hashes(values, WINDOW, 1)
                     if shared is not None:
-                        by_minhash, by_mark = shared.value
-                        keep = keep & _hits(low, *by_minhash)
-                        keep[keep] = _hits(marks[keep], *by_mark)
+                        keep = keep & _hits(low, *shared.value)
                     at = np.flatnonzero(keep)
                     who, pos = owner[at].tolist(), place[at].tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([keys[rows[0] + i] for i in who], pa.int64()), pa.array(_signed(low[at])), pa.array(_signed(marks[at])), pa.array([" ".join(words[i][p : p + WINDOW]) for i, p in zip(who, pos)], pa.string())],
-                        schema=schema,
-                    )
+                    wins = [" ".join(words[i][p : p + WINDOW]) for i, p in zip(who, pos)]
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[rows[0] + i] for i in who], pa.int64()), pa.array(_signed(low[at])), pa.array(wins, pa.string())], schema=schema)
 
     return run
 
 
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item_id, minhash, win): the query sets, written once because they are used three times."""
+    tests = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
+    return checkpoint(tests.mapInArrow(_windows("item_id"), "item_id bigint, minhash bigint, win string").distinct())
+
+
 def leak_windows(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, win): every shared window of 13 words of a document and an item, verified."""
+    """(doc_id, item_id, win): every shared window of 13 words of a document and an item, verified. ``items`` are item windows."""
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
-    tests = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
-    of_items = tests.mapInArrow(_windows("item_id"), "item_id bigint, minhash bigint, mark bigint, win string")
-    shared = documents.sparkSession.sparkContext.broadcast(tuple(signature_filter(of_items.select(c)) for c in ("minhash", "mark")))
-    of_docs = docs.mapInArrow(_windows("doc_id", shared), "doc_id bigint, minhash bigint, mark bigint, win string").select("doc_id", "win").distinct()
-    # the planner takes the windows to be as small as the texts they come from; merge, never broadcast them
-    return of_docs.join(of_items.select("item_id", "win").distinct().hint("merge"), "win").select("doc_id", "item_id", "win")
+    shared = documents.sparkSession.sparkContext.broadcast(signature_filter(items.select("minhash")))
+    of_docs = docs.mapInArrow(_windows("doc_id", shared), "doc_id bigint, minhash bigint, win string").distinct()
+    # candidates by MinHash value, verified by the words; as one equi-join a frequent value makes no pairs that fail.
+    # The planner takes the windows to be as small as the texts they come from; merge, never broadcast them
+    return of_docs.join(items.hint("merge"), ["minhash", "win"]).select("doc_id", "item_id", "win")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): distinct pairs."""
-    return leak_windows(documents, items).select("doc_id", "item_id").distinct()
+    return leak_windows(documents, item_windows(items)).select("doc_id", "item_id").distinct()
 
 
 def leak_containment(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shared, n_windows, containment): share of the item's windows found."""
-    shared = leak_windows(documents, items).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
-    tests = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
-    sizes = tests.mapInArrow(_windows("item_id"), "item_id bigint, minhash bigint, mark bigint, win string").groupBy("item_id").agg(F.count_distinct("win").alias("n_windows"))
+    tests = item_windows(items)
+    shared = leak_windows(documents, tests).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    sizes = tests.groupBy("item_id").agg(F.count_distinct("win").alias("n_windows"))
     return shared.join(sizes, "item_id").select("doc_id", "item_id", "n_shared", "n_windows", F.round(F.col("n_shared") / F.col("n_windows"), 6).alias("containment"))

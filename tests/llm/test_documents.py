@@ -65,6 +65,18 @@ def test_leaks(spark):
     assert leakage.leaked_items(d.limit(0), i).count() == leakage.leaked_items(d, i.limit(0)).count() == 0
 
 
+def test_recall_is_whole_and_comes_from_the_signatures(spark, monkeypatch):
+    docs, items = passages(seed=11)
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    truth = leaks_by_force(docs, items)
+    found = {tuple(r) for r in leakage.leaked_items(d, i).collect()}
+    assert truth and len(found & truth) / len(truth) == 1.0
+    tests = leakage.item_windows(i)
+    wrong = tests.withColumn("minhash", F.col("minhash") + 1)  # the words are right, the signatures are not
+    assert leakage.leak_windows(d, wrong).count() == 0
+    assert leakage.leak_windows(d, tests).count() > 0
+
+
 def test_other_writing(spark):
     text = "Der fröhliche Bäcker an der Brücke zählt heute die Möhren im großen Saal nach"
     dirty = text.upper().replace(" ", " - ").replace("Ö", "Ö").replace("B", "B​")
