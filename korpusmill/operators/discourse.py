@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass, field
 from xml.sax.saxutils import escape, quoteattr
 
@@ -214,34 +215,87 @@ CONNECTIVES = [
 CONNECTIVE_DDL = "orth array<string>, type string, ante boolean, post boolean, insert boolean, rel array<string>"
 
 
-def find_connectives(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, first_idx, last_idx, orth, type, rel): connectives in the sentences.
+#: A lexicon is a closed vocabulary; one with more entries is refused.
+MAX_ENTRIES = 20_000
+
 
-    Each part of an entry is an n-gram; parts are joined by their words and must follow
-    each other. Of several entries at a place the longest wins; a token belongs to one.
+class ConnectiveMatcher:
+    """Finds the entries of a lexicon in a sentence: any number of parts, each of any number of words.
+
+    The parts of an entry follow each other, each at its first place behind the part before it. Of chains that
+    share their second part the one that begins last counts; words of later parts are no connectives
+    of their own. Of several entries at a place the longest wins, and a token belongs to one.
     """
-    from pyspark.sql import Window as W
 
-    w = W.partitionBy("doc_id", "sent_id").orderBy("idx")
-    words = tokens.where(F.col("form").isNotNull()).select("doc_id", "sent_id", "idx", F.lower("form").alias("f")).withColumn("f2", F.concat_ws(" ", "f", F.lead("f").over(w))).withColumn("f3", F.concat_ws(" ", "f2", F.lead("f", 2).over(w)))
-    grams = words.select("doc_id", "sent_id", "idx", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("f").alias("g")), F.struct(F.lit(2).alias("n"), F.col("f2").alias("g")), F.struct(F.lit(3).alias("n"), F.col("f3").alias("g")))).alias("x"))
-    entries = lexicon.withColumn("entry", F.array_join("orth", " ... "))
-    parts = entries.select("entry", "orth", "type", "rel", F.size("orth").alias("k"), F.posexplode("orth").alias("p", "part")).withColumn("n", F.size(F.split("part", " ")))
-    hits = grams.select("doc_id", "sent_id", "idx", F.col("x.n").alias("n"), F.col("x.g").alias("part")).join(parts, ["n", "part"])
-    first = hits.where("p = 0").select("doc_id", "sent_id", "entry", "orth", "type", "rel", "k", F.col("idx").alias("first_idx"), (F.col("idx") + F.col("n") - 1).alias("end0"))
-    second = hits.where("p = 1").select("doc_id", "sent_id", "entry", F.col("idx").alias("i1"), (F.col("idx") + F.col("n") - 1).alias("end1"))
-    paired = first.where("k > 1").join(second, ["doc_id", "sent_id", "entry"]).where("i1 > end0").groupBy("doc_id", "sent_id", "entry", "orth", "type", "rel", "first_idx").agg(F.min(F.struct("i1", "end1")).alias("_s"))
-    nearest = W.partitionBy("doc_id", "sent_id", "entry", "_s.i1").orderBy(F.desc("first_idx"))
-    paired = paired.withColumn("_n", F.row_number().over(nearest)).where("_n = 1").withColumn("last_idx", F.col("_s.end1"))
-    taken = paired.select("doc_id", "sent_id", F.explode(F.sequence("_s.i1", "last_idx")).alias("first_idx")).distinct()
-    paired = paired.drop("_s", "_n")
-    single = first.where("k = 1").select("doc_id", "sent_id", "entry", "orth", "type", "rel", "first_idx", F.col("end0").alias("last_idx")).join(taken, ["doc_id", "sent_id", "first_idx"], "left_anti")
-    every = single.unionByName(paired)
-    rank = W.partitionBy("doc_id", "sent_id", "first_idx").orderBy(F.desc("last_idx"), F.desc(F.size("orth")), "entry")
-    best = every.withColumn("_r", F.row_number().over(rank)).where("_r = 1")
-    order = W.partitionBy("doc_id", "sent_id").orderBy("first_idx").rowsBetween(W.unboundedPreceding, -1)
-    free = best.withColumn("_e", F.max(F.when(F.size("orth") == 1, F.col("last_idx"))).over(order)).where(F.col("_e").isNull() | (F.col("first_idx") > F.col("_e")))
-    return free.select("doc_id", "sent_id", "first_idx", "last_idx", "orth", "type", "rel")
+    def __init__(self, entries: list[tuple[list[str], str, list[str]]]):
+        self.entries = entries
+        self.parts: dict[str, list[tuple[int, int, list[str]]]] = {}
+        for number, (orth, _, _) in enumerate(entries):
+            for k, part in enumerate(orth):
+                words = part.split(" ")
+                self.parts.setdefault(words[0], []).append((number, k, words))
+
+    def match(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(first, last, entry number) by place in the lower-case words of a sentence."""
+        hits: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for at, word in enumerate(words):
+            for number, k, part in self.parts.get(word, ()):
+                if words[at : at + len(part)] == part:
+                    hits.setdefault(number, {}).setdefault(k, []).append((at, at + len(part) - 1))
+        found, taken = [], set()
+        for number, places in hits.items():
+            parts = len(self.entries[number][0])
+            if parts == 1 or len(places) < parts:
+                continue
+            chains: dict[int, list[tuple[int, int]]] = {}
+            for first in places.get(0, ()):
+                chain = [first]
+                for k in range(1, parts):
+                    after = next((h for h in places[k] if h[0] > chain[-1][1]), None)
+                    if after is None:
+                        break
+                    chain.append(after)
+                else:
+                    chains[chain[1][0]] = chain  # later beginnings replace earlier ones
+            for chain in chains.values():
+                found.append((chain[0][0], chain[-1][1], number))
+                taken.update(i for a, b in chain[1:] for i in range(a, b + 1))
+        found += [(a, b, number) for number, places in hits.items() if len(self.entries[number][0]) == 1 for a, b in places[0] if a not in taken]
+        best: dict[int, tuple[int, int, int]] = {}
+        for hit in sorted(found, key=lambda h: (h[0], -h[1], -len(self.entries[h[2]][0]), " ... ".join(self.entries[h[2]][0]))):
+            best.setdefault(hit[0], hit)
+        out, covered = [], -1
+        for hit in best.values():
+            if hit[0] > covered:
+                out.append(hit)
+            if len(self.entries[hit[2]][0]) == 1:
+                covered = max(covered, hit[1])
+        return out
+
+
+def connective_matcher(lexicon: DataFrame) -> ConnectiveMatcher:
+    """The matcher of a lexicon (orth, type, rel), whose size is checked."""
+    rows = lexicon.select("orth", "type", "rel").where("size(orth) > 0").limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"more than {MAX_ENTRIES} connectives")
+    return ConnectiveMatcher([([p.lower() for p in r["orth"]], r["type"], list(r["rel"] or [])) for r in rows])
+
+
+def find_connectives(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, first_idx, last_idx, orth, type, rel): connectives in the sentences, one pass over gathered sentences."""
+    matcher = connective_matcher(lexicon)
+    rows = tokens.where(F.col("form").isNotNull()).groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.lower("form").alias("form")))).alias("tokens"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, sent, toks in zip(batch["doc_id"], batch["sent_id"], batch["tokens"]):
+                for first, last, number in matcher.match([t["form"] for t in toks]):
+                    orth, kind, rel = matcher.entries[number]
+                    out.append((doc, sent, toks[first]["idx"], toks[last]["idx"], orth, kind, rel))
+            yield pd.DataFrame(out, columns=["doc_id", "sent_id", "first_idx", "last_idx", "orth", "type", "rel"])
+
+    return rows.mapInPandas(run, "doc_id string, sent_id int, first_idx int, last_idx int, orth array<string>, type string, rel array<string>")
 
 
 def argument_type(found: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -251,29 +305,68 @@ def argument_type(found: DataFrame, tokens: DataFrame) -> DataFrame:
     return rows.withColumn("arg_type", F.when(F.col("type").isin("adv", "conj") & F.col("sent_initial"), "inter_sent").otherwise("intra_sent"))
 
 
-def argument_scopes(connectives: DataFrame, units: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Adds int_arg and ext_arg (texts): internal and external argument of each connective.
+SCOPE_DDL = "doc_id string, sent_id int, first_idx int, last_idx int, orth array<string>, type string, rel array<string>, arg_type string, int_arg string, ext_arg string"
 
-    Internal is the unit that holds the connective. External is the preceding sentence for
-    arguments across sentences; within a sentence the embedding unit, else for an anteposed
-    subjunction the following unit, else the preceding one. Without units on both sides the
-    text is cut at the connective.
+
+def scopes_of(found: list[tuple[int, int, str]], units: list[Unit], first_word: int | None, previous: str | None) -> list[tuple[str, str | None, str | None]]:
+    """(arg_type, internal, external argument) of each connective (first_idx, last_idx, type) of a sentence.
+
+    Internal is the innermost unit that holds the connective. External is the preceding sentence for
+    arguments across sentences; within a sentence the embedding unit, else for a subjunction at the
+    beginning the following unit, else the preceding one, else the following one.
     """
-    typed = argument_type(connectives, tokens)
-    inside = (F.col("c.doc_id") == F.col("u.doc_id")) & (F.col("c.sent_id") == F.col("u.sent_id")) & F.col("c.first_idx").between(F.col("u.first_idx"), F.col("u.last_idx"))
-    held = typed.alias("c").join(units.alias("u"), inside, "left")
-    own = held.groupBy(*[F.col(f"c.{c}") for c in ("doc_id", "sent_id", "first_idx", "last_idx", "orth", "type", "rel", "arg_type", "sent_initial")]).agg(
-        F.max_by(F.struct("u.unit_no", "u.text", "u.parent"), F.struct("u.first_idx", "u.unit_no")).alias("u")
-    )  # the innermost unit starts last
-    near = units.groupBy("doc_id", "sent_id").agg(F.map_from_entries(F.collect_list(F.struct("unit_no", "text"))).alias("by_no"), F.array_sort(F.collect_list("unit_no")).alias("nos"))
-    sents = tokens.where(F.col("form").isNotNull()).groupBy("doc_id", "sent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "form"))), lambda x: x["form"]), " ").alias("sent_text"))
-    before = sents.select("doc_id", (F.col("sent_id") + 1).alias("sent_id"), F.col("sent_text").alias("previous"))
-    rows = own.join(near, ["doc_id", "sent_id"], "left").join(before, ["doc_id", "sent_id"], "left")
-    later = F.get(F.filter("nos", lambda n: n > F.col("u.unit_no")), F.lit(0))
-    earlier = F.try_element_at(F.filter("nos", lambda n: n < F.col("u.unit_no")), F.lit(-1))
-    pick = F.coalesce("u.parent", F.when((F.col("type") == "subj") & F.col("sent_initial"), later), earlier, later)
-    ext = F.when(F.col("arg_type") == "inter_sent", F.col("previous")).otherwise(F.try_element_at("by_no", pick))
-    return rows.select("doc_id", "sent_id", "first_idx", "last_idx", "orth", "type", "rel", "arg_type", F.col("u.text").alias("int_arg"), ext.alias("ext_arg"))
+    texts = {u.number: " ".join(t["form"] for t in u.tokens) for u in units}
+    spans = [(min(t["idx"] for t in u.tokens), u.number, max(t["idx"] for t in u.tokens), u) for u in units]
+    out = []
+    for first, _, kind in found:
+        initial = first_word is not None and first <= first_word
+        across = kind in ("adv", "conj") and initial
+        inside = [s for s in spans if s[0] <= first <= s[2]]
+        own = max(inside, key=lambda s: s[:2])[3] if inside else None
+        if across:
+            outer = previous
+        else:
+            at = own.number if own else None
+            later = min((n for n in texts if at is not None and n > at), default=None)
+            earlier = max((n for n in texts if at is not None and n < at), default=None)
+            order = [own.parent if own else None, later if kind == "subj" and initial else None, earlier, later]
+            outer = texts.get(next((n for n in order if n is not None), None))
+        out.append(("inter_sent" if across else "intra_sent", texts[own.number] if own else None, outer))
+    return out
+
+
+def connective_arguments(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Connectives of each sentence with their type and arguments, in one pass over the gathered sentences.
+
+    Units, connectives and scopes all come from the same sentence; the text of the sentence before it
+    is laid beside it by a running window over the document.
+    """
+    from pyspark.sql import Window as W
+
+    matcher = connective_matcher(lexicon)
+    item = F.struct("idx", F.coalesce("form", F.lit("")).alias("form"), F.coalesce("lemma", "form", F.lit("")).alias("lemma"), F.coalesce("pos", F.lit("XY")).alias("pos"), F.coalesce("phead", F.lit(-1)).alias("head"), F.coalesce("feat", F.lit("")).alias("feat"), F.col("form").isNotNull().alias("held"))
+    rows = tokens.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(item)).alias("tokens"))
+    text = F.array_join(F.transform(F.filter("tokens", lambda t: t["held"]), lambda t: t["form"]), " ")
+    order = W.partitionBy("doc_id").orderBy("sent_id")
+    near = rows.withColumn("text", text).withColumn("previous", F.when(F.lag("sent_id").over(order) == F.col("sent_id") - 1, F.lag("text").over(order))).drop("text")
+
+    def run(batches):
+        segmenter, odd = UnitSegmenter(), frozenset("@#" + string.punctuation)
+        for batch in batches:
+            out = []
+            for doc, sent, toks, previous in zip(batch["doc_id"], batch["sent_id"], batch["tokens"], batch["previous"]):
+                held = [t for t in toks if t["held"]]
+                found = matcher.match([t["form"].lower() for t in held])
+                if not found:
+                    continue
+                units = segmenter.segment([dict(t) | {"feats": tuple(t["feat"].replace("|", " ").split())} for t in toks])
+                first_word = next((t["idx"] for t in held if t["form"][:1] not in odd), None)
+                placed = [(held[a]["idx"], held[b]["idx"], matcher.entries[n][1]) for a, b, n in found]
+                for (a, b, kind), (_, _, n), scope in zip(placed, found, scopes_of(placed, units, first_word, previous)):
+                    out.append((doc, sent, a, b, matcher.entries[n][0], kind, matcher.entries[n][2], *scope))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCOPE_DDL.split(", ")])
+
+    return near.mapInPandas(run, SCOPE_DDL)
 
 
 # --- outputs ---------------------------------------------------------------------------------------------
@@ -281,10 +374,11 @@ def argument_scopes(connectives: DataFrame, units: DataFrame, tokens: DataFrame)
 
 def segment_offsets(units: DataFrame, tokens: DataFrame) -> DataFrame:
     """(doc_id, offsets): left offset of each segment and the right end of the last, in token text."""
-    flat = tokens.where(F.col("form").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "idx", "form"))).alias("ts"))
-    starts = F.aggregate("ts", F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(t["form"]) + 1)))
-    placed = flat.select("doc_id", F.explode(F.arrays_zip(F.col("ts").alias("t"), F.slice(starts, F.lit(1), F.size("ts")).alias("start"))).alias("x"))
-    rows = placed.select("doc_id", F.col("x.t.sent_id").alias("sent_id"), F.col("x.t.idx").alias("idx"), F.col("x.start").alias("start"), (F.col("x.start") + F.length("x.t.form")).alias("end"))
+    from pyspark.sql import Window as W
+
+    before = W.partitionBy("doc_id").orderBy("sent_id", "idx").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("form") + 1).over(before), F.lit(0)).cast("int")
+    rows = tokens.where(F.col("form").isNotNull()).select("doc_id", "sent_id", "idx", start.alias("start"), F.length("form").alias("_n")).withColumn("end", F.col("start") + F.col("_n")).drop("_n")
     joined = units.select("doc_id", "sent_id", F.col("first_idx").alias("idx")).join(rows, ["doc_id", "sent_id", "idx"])
     lefts = joined.groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("lefts"))
     return lefts.join(rows.groupBy("doc_id").agg(F.max("end").alias("right")), "doc_id").select("doc_id", F.concat("lefts", F.array("right")).alias("offsets"))

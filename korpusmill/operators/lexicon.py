@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ANY = "..."
-#: Tags that a coarse tag of a lexicon source stands for (fixed values).
+#: Tags that a coarse tag of a lexicon source stands for; any other tag stands for itself (fixed values).
 FINE_TAGS = {
-    "nomen": ["NN", "NE"],
-    "verben": ["VVINF", "VVFIN", "VVIMP", "VVIZU", "VVPP"],
-    "adj": ["ADJA", "ADJD"],
-    "adv": ["ADV"],
+    "VV": ["VVINF", "VVFIN", "VVPP", "VVIMP", "VVIZU"],
+    "VM": ["VMFIN", "VMINF", "VMPP"],
+    "AD": ["ADJA", "ADJD", "ADV"],
+    "AP": ["APPR", "APPRART", "APPO", "APZR"],
+    "PI": ["PIS", "PIAT", "PIDAT"],
+    "PT": ["PTKZU", "PTKNEG", "PTKVZ", "PTKANT", "PTKA"],
 }
 #: Macros of lexicon files and the tags they write out (fixed values).
 MACROS = {"t_ADJX": ["ADJA", "ADJD"], "t_VVINF": ["VVINF", "VVIZU", "VVFIN"], "t_ANY": [ANY]}
@@ -40,14 +42,15 @@ CANCELLED_BY = {
 LEXICON = T.StructType([T.StructField("class", T.StringType()), T.StructField("word", T.StringType()), T.StructField("tag", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("seq", T.LongType())])
 
 
-def read_lexicon(lines: DataFrame, default_class: str = "neutral") -> DataFrame:
+def read_lexicon(lines: DataFrame) -> DataFrame:
     """Lexicon rows of a frame (file, line_no, line): class headers, comments, macros, lower-case words.
 
-    The class header of a file holds for the lines after it.
+    The class header of a file holds for the lines after it; before it the class is the name of the file
+    without path and ending. A macro may stand for the entry, ``t_X(word, score)``, or for its tag.
     """
     header = F.nullif(F.regexp_extract("line", r"^##!\s*CLASS:\s*(\S+)", 1), F.lit(""))
     w = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    classed = lines.withColumn("class", F.coalesce(F.last(header, ignorenulls=True).over(w), F.lit(default_class)))
+    classed = lines.withColumn("class", F.coalesce(F.last(header, ignorenulls=True).over(w), F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)))
     body = F.trim(F.regexp_replace("line", r"(^|\s+)#.*$", ""))
     rows = classed.withColumn("body", body).where("body <> ''")
     macro = r"^(t_[A-Z]+)\(\s*([^,]+?)\s*,\s*([-+.\d]+)\s*\)"
@@ -55,7 +58,8 @@ def read_lexicon(lines: DataFrame, default_class: str = "neutral") -> DataFrame:
     name = F.regexp_extract("body", macro, 1)
     parts = F.split("body", r"\t")
     entry = F.when(name != "", F.transform(F.coalesce(F.try_element_at(tags, name), F.array(F.lit(ANY))), lambda t: F.struct(F.regexp_extract("body", macro, 2).alias("word"), t.alias("tag"), F.regexp_extract("body", macro, 3).alias("score"))))
-    entry = entry.when(F.size(parts) >= 3, F.array(F.struct(parts[0].alias("word"), F.get(parts, F.lit(1)).alias("tag"), F.get(parts, F.lit(2)).alias("score"))))
+    given = F.trim(F.get(parts, F.lit(1)))
+    entry = entry.when(F.size(parts) >= 3, F.transform(F.coalesce(F.try_element_at(tags, given), F.array(given)), lambda t: F.struct(parts[0].alias("word"), t.alias("tag"), F.get(parts, F.lit(2)).alias("score"))))
     done = rows.select("class", F.col("line_no").cast("bigint").alias("seq"), F.explode(entry).alias("e"))
     return done.select("class", F.lower(F.trim("e.word")).alias("word"), F.trim("e.tag").alias("tag"), F.col("e.score").try_cast("double").alias("score"), "seq").where(F.col("score").isNotNull())
 
@@ -63,12 +67,12 @@ def read_lexicon(lines: DataFrame, default_class: str = "neutral") -> DataFrame:
 def convert_lexicon(source: DataFrame) -> DataFrame:
     """Six-field source (word, lemma, tag, polarity, scores, note, seq) to (word, tag, score).
 
-    A coarse tag becomes its fine tags; the score is the first part of a/b/c, ``-`` meaning
+    A coarse tag becomes its fine tags, another one stays; the score is the first part of a/b/c, ``-`` meaning
     0.3333; the first entry of a word and tag wins.
     """
     fine = F.create_map(*[x for name, tags in FINE_TAGS.items() for x in (F.lit(name), F.array(*map(F.lit, tags)))])
     part = F.element_at(F.split("scores", "/"), 1)
-    rows = source.select(F.lower("lemma").alias("word"), F.explode(F.coalesce(F.try_element_at(fine, F.lower("tag")), F.array(F.lit(ANY)))).alias("tag"), F.when(part == "-", F.lit(0.3333)).otherwise(part.try_cast("double")).alias("score"), "seq")
+    rows = source.select(F.lower("lemma").alias("word"), F.explode(F.coalesce(F.try_element_at(fine, F.col("tag")), F.array("tag"))).alias("tag"), F.when(part == "-", F.lit(0.3333)).otherwise(part.try_cast("double")).alias("score"), "seq")
     return rows.groupBy("word", "tag").agg(F.min_by("score", "seq").alias("score"))
 
 

@@ -203,6 +203,6 @@ def connective_counts_all(spark, d):
 
 @R.add()
 def connective_arguments(spark, d):
-    tokens = _tokens(spark, d)
-    scopes = discourse.argument_scopes(_connectives(spark, d), discourse.discourse_units(tokens), tokens)
+    lexicon = spark.createDataFrame(discourse.CONNECTIVES, discourse.CONNECTIVE_DDL)
+    scopes = discourse.connective_arguments(_tokens(spark, d), lexicon)
     return scopes.withColumn("orth", F.array_join("orth", " ")).withColumn("rel", F.array_join("rel", ","))

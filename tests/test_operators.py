@@ -221,9 +221,35 @@ def test_lexicon_reading(spark):
 
 
 def test_lexicon_conversion(spark):
-    rows = spark.createDataFrame([("x", "Haus", "nomen", "POS", "0.2/-/-", "", 1), ("x", "haus", "nomen", "POS", "0.9/-/-", "", 2), ("x", "nett", "adj", "POS", "-/-/-", "", 3)], "form string, lemma string, tag string, polarity string, scores string, note string, seq int")
+    entries = [("x", "Haus", "NN", "POS", "0.2/-/-", "", 1), ("x", "haus", "NN", "POS", "0.9/-/-", "", 2), ("x", "nett", "AD", "POS", "-/-/-", "", 3), ("x", "lachen", "VV", "POS", "0.5/-/-", "", 4), ("x", "kein", "PI", "NEG", "0.1/-/-", "", 5)]
+    rows = spark.createDataFrame(entries, "form string, lemma string, tag string, polarity string, scores string, note string, seq int")
     got = {(r["word"], r["tag"]): r["score"] for r in lexicon.convert_lexicon(rows).collect()}
-    assert got == {("haus", "NN"): 0.2, ("haus", "NE"): 0.2, ("nett", "ADJA"): 0.3333, ("nett", "ADJD"): 0.3333}
+    want = {("haus", "NN"): 0.2} | {("nett", t): 0.3333 for t in ("ADJA", "ADJD", "ADV")} | {("lachen", t): 0.5 for t in ("VVINF", "VVFIN", "VVPP", "VVIMP", "VVIZU")} | {("kein", t): 0.1 for t in ("PIS", "PIAT", "PIDAT")}
+    assert got == want
+
+
+def test_lexicon_macros_and_class_of_the_file(spark):
+    lines = ["Gut\tt_ANY\t0.5", "schön\tt_ADJX\t0.7", "##! CLASS: other", "t_VVINF(lachen, 1)"]
+    rows = lexicon.read_lexicon(spark.createDataFrame([("/a/b/positive.smdict", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string"))
+    got = {(r["class"], r["word"], r["tag"]) for r in rows.collect()}
+    assert got == {("positive", "gut", "..."), ("positive", "schön", "ADJA"), ("positive", "schön", "ADJD")} | {("other", "lachen", t) for t in ("VVINF", "VVIZU", "VVFIN")}
+
+
+def test_connectives_of_many_parts_and_words():
+    matcher = discourse.ConnectiveMatcher([(["weder", "noch", "und auch"], "conj", []), (["noch"], "adv", []), (["aus dem einfachen grund dass"], "subj", []), (["aus"], "adv", [])])
+    find = lambda text: [(a, b, matcher.entries[n][0][0]) for a, b, n in matcher.match(text.split())]
+    assert find("weder er noch sie") == [(2, 2, "noch")]
+    assert find("weder er noch sie und auch wir") == [(0, 5, "weder")]
+    assert find("aus dem einfachen grund dass er lacht") == [(0, 4, "aus dem einfachen grund dass")]
+    assert find("") == []
+
+
+def test_connective_arguments_in_one_pass(spark):
+    words = [("d", 0, 1, "Es", "PPER"), ("d", 0, 2, "regnet", "VVFIN"), ("d", 1, 1, "Aber", "KON"), ("d", 1, 2, "er", "PPER"), ("d", 1, 3, "lacht", "VVFIN"), ("d", 1, 4, ",", "$,"), ("d", 1, 5, "weil", "KOUS"), ("d", 1, 6, "er", "PPER"), ("d", 1, 7, "singt", "VVFIN"), ("e", 3, 1, None, None)]
+    tokens = spark.createDataFrame([(d, s, i, w, w, p, 0, None) for d, s, i, w, p in words], "doc_id string, sent_id int, idx int, form string, lemma string, pos string, phead int, feat string")
+    got = {r["first_idx"]: (r["arg_type"], r["int_arg"], r["ext_arg"]) for r in discourse.connective_arguments(tokens, spark.createDataFrame(discourse.CONNECTIVES, discourse.CONNECTIVE_DDL)).collect()}
+    assert got[1][0] == "inter_sent" and got[1][2] == "Es regnet"
+    assert got[5][0] == "intra_sent" and "weil" in got[5][1]
 
 
 def test_negation(spark):
