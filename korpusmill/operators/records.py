@@ -7,7 +7,8 @@ resumes at the next validated record start (an index, a tab and a full set of fi
 and returns what it recovers there as well.
 
 Defined results: null lines, blank lines and metadata lines (ESC) are no records; lines
-of any length are parsed whole; equal lines are judged alike.
+of any length are parsed whole; equal lines are judged alike; an integer beyond 64 bits is valid and
+is kept as digits in ``too_large`` under the name of its column.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ class Grammar:
 
     def bad_value(self, fields: list[str]) -> int:
         """Number of the first field with an invalid value, 0 if all are valid."""
-        if not (_DIGITS.match(fields[0]) and int(fields[0]) > 0):
+        if not (_DIGITS.match(fields[0]) and fields[0].strip("0")):
             return 1
         if not fields[1].strip():
             return 2
@@ -124,21 +125,28 @@ class Grammar:
         return {"reason": None, "field_no": None, "char_pos": None, "resumed_at": None, "fields": fields}
 
 
-_BIG = 2**31 - 1
+_BIG = 2**63 - 1
 
 
-def _typed(name: str, value: str | None):
-    if value is None or name not in INTEGERS:
-        return value
-    number = int(value)
-    return number if number <= _BIG else None
+def _typed(fields: list[str]) -> dict:
+    """Fields by name, integers as such; those beyond 64 bits by name in ``too_large``."""
+    row = dict(zip(COLUMNS, fields))
+    large = {}
+    for name in INTEGERS:
+        number = int(row[name]) if len(row[name].lstrip("0")) < 20 else _BIG + 1
+        if number > _BIG:
+            large[name] = row[name]
+        row[name] = number if number <= _BIG else None
+    return row | {"too_large": list(large.items()) or None}
 
 
 SCHEMA = pa.schema(
     [("line_id", pa.int64()), ("file_name", pa.string()), ("line_no", pa.int32()), ("reason", pa.string()), ("field_no", pa.int32()), ("char_pos", pa.int32()), ("resumed_at", pa.int32())]
-    + [(c, pa.int32() if c in INTEGERS else pa.string()) for c in COLUMNS]
+    + [(c, pa.int64() if c in INTEGERS else pa.string()) for c in COLUMNS]
+    + [("too_large", pa.map_(pa.string(), pa.string()))]
 )
-DDL = "line_id bigint, file_name string, line_no int, reason string, field_no int, char_pos int, resumed_at int, " + ", ".join(f"{c} {'int' if c in INTEGERS else 'string'}" for c in COLUMNS)
+DDL = "line_id bigint, file_name string, line_no int, reason string, field_no int, char_pos int, resumed_at int, " + ", ".join(f"{c} {'bigint' if c in INTEGERS else 'string'}" for c in COLUMNS) + ", too_large map<string,string>"
+_NOTHING = dict.fromkeys([*COLUMNS, "too_large"])
 
 
 def _parse(grammar: Grammar):
@@ -149,8 +157,8 @@ def _parse(grammar: Grammar):
                 verdict = grammar.line(text)
                 if verdict is None:
                     continue
-                fields = verdict.pop("fields") or [None] * len(COLUMNS)
-                out.append({"line_id": line_id, "file_name": file_name, "line_no": line_no} | verdict | {c: _typed(c, v) for c, v in zip(COLUMNS, fields)})
+                fields = verdict.pop("fields")
+                out.append({"line_id": line_id, "file_name": file_name, "line_no": line_no} | verdict | (_typed(fields) if fields else _NOTHING))
             yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
 
     return run
@@ -179,5 +187,10 @@ def good_records(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNull()).drop("reason", "field_no", "char_pos", "resumed_at")
 
 
+def recovered_records(parsed: DataFrame) -> DataFrame:
+    """Records found behind a broken quote, at the place where the parser resumed."""
+    return parsed.where(F.col("reason").isNotNull() & F.col("resumed_at").isNotNull()).drop("reason", "field_no", "char_pos")
+
+
 def bad_lines(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull()).select("line_id", "reason")

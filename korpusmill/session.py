@@ -50,12 +50,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
 
-    Only where neither the session nor the context names a folder (tests on one
-    machine) a temporary folder is set.
+    A local session without such a folder gets a temporary one; on a cluster its absence is an error,
+    because a folder of one machine is lost with it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="korpusmill-"))
     return df.checkpoint(eager=True)

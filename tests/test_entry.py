@@ -32,7 +32,7 @@ def test_core_does_not_need_the_subpackage(tmp_path):
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name == 'korpusmill.llm' or name.startswith('korpusmill.llm.'):\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "q = e.queries(); print('NAMES', len(q), 'p2_found' in q, 'p6_found' in q, set(e.oracle_sql()) <= set(q))"

@@ -61,6 +61,18 @@ def test_parse_lines_frame(spark):
     assert records.parse_lines(lines.limit(0), tags).count() == 0
 
 
+def test_large_integers_and_recovered_records(spark):
+    rows = [(1, "f", 1, line(idx="3000000000", head="0007")), (2, "f", 2, line(idx="9" * 5000)), (3, "f", 3, line(form='"broken') + "\t" + line(idx="2")), (4, "f", 4, line(form='"lost'))]
+    lines = spark.createDataFrame(rows, "line_id bigint, file_name string, line_no int, line_text string")
+    tags = spark.createDataFrame([("pos", "NN"), ("deprel", "SB"), ("deprel", "--")], "tag_kind string, tag string")
+    parsed = records.parse_lines(lines, tags)
+    good = {r["line_id"]: r for r in records.good_records(parsed).collect()}
+    assert set(good) == {1, 2} and good[1]["idx"] == 3_000_000_000 and good[1]["head"] == 7 and good[1]["too_large"] is None
+    assert good[2]["idx"] is None and good[2]["too_large"] == {"idx": "9" * 5000}
+    found = records.recovered_records(parsed).collect()
+    assert [(r["line_id"], r["idx"], r["form"]) for r in found] == [(3, 2, "Haus")]
+
+
 def split(spark, values, table="conll_words", source="s"):
     fields = spark.createDataFrame([(table, source, i, v) for i, v in enumerate(values)], "src_table string, source string, row_key bigint, value string")
     out = {}
