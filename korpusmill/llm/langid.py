@@ -5,13 +5,17 @@ word are its whole spelling, prefixes, suffixes, character n-grams, its shape an
 language its corpus lexicon entry prefers; transitions are learned. Words are labelled
 by the forward-backward posterior, whose mean over a stretch is its confidence.
 
+The languages are those of the message labels that the texts bear out: a label is a language if
+enough of its sentences are explained best by the words of its other sentences, which labels
+given by mistake are not. Besides them there is the state ``x`` for invented names.
+
 Training needs no hand labels. The noisy message labels of a bounded sample
 (``max_messages``) give word counts per language, handles and hashtags give the
 spelling of invented names (label ``x``), a decoding with a switching penalty turns both
 into word labels, and the field is fitted twice on labels that it revises in between.
 
 Defined results: null, empty or non-word tokens, handles, hashtags and numbers get no
-label and interrupt nothing; re-delivered tokens of a position count once; an empty
+label and interrupt nothing; a message without words has the language ``und`` with confidence 0; re-delivered tokens of a position count once; an empty
 table gives no rows; sentences of any length are labelled whole.
 """
 
@@ -32,10 +36,10 @@ from pyspark.sql import functions as F
 from korpusmill.llm.canon import look_alike_tables
 from korpusmill.llm.mojibake import restore_multibyte
 
-LANGS = ("de", "en", "fr", "es", "it", "nl")
-#: States of the field: the languages and ``x`` for invented names.
-STATES = LANGS + ("x",)
-K = len(STATES)
+#: Share of a label's sentences that its own words must explain best for it to be a language.
+LEAST_BORNE_OUT = 0.3
+#: A label set is a closed vocabulary; more languages than this are refused.
+MAX_LANGUAGES = 200
 BUCKETS = 1 << 15
 #: Message labels that name no language.
 NO_LABEL = ("", "und", "unknown", "?", "_")
@@ -94,10 +98,11 @@ class LanguageField:
     transitions: np.ndarray
     start: np.ndarray
     hints: dict[str, str]
+    langs: tuple[str, ...] = ()
     cache: dict[str, np.ndarray | None] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"weights": self.weights, "transitions": self.transitions, "start": self.start, "hints": self.hints, "cache": {}}
+        return {"weights": self.weights, "transitions": self.transitions, "start": self.start, "hints": self.hints, "langs": self.langs, "cache": {}}
 
     def emission(self, form: str) -> np.ndarray | None:
         """Scores of the states for a token; None for what has no language."""
@@ -191,6 +196,27 @@ def _name_scorer(names: list[str], words: list[str]):
     return score
 
 
+def languages_of(counts: np.ndarray, names: list[str], of_label: list[int], rows: list[np.ndarray]) -> list[int]:
+    """Numbers of the labels that are languages.
+
+    ``counts`` has the occurrences of each word key under each label, ``rows`` the keys of each
+    sentence and ``of_label`` its label number or -1. A sentence is taken out of its label's counts when it is judged.
+    """
+    totals, share = counts.sum(axis=0), counts.sum(axis=1) / max(1.0, counts.sum())
+    won, seen = np.zeros(len(names)), np.zeros(len(names))
+    for label, keys in zip(of_label, rows):
+        if label < 0:
+            continue
+        held, own = np.unique(keys, return_counts=True)
+        c, n = counts[held].copy(), totals.copy()
+        c[:, label] -= own
+        n[label] -= len(keys)
+        rates = (c + 2.0 * share[held, None] + 1e-9) / (n + 2.0)
+        seen[label] += 1
+        won[label] += int((np.log(rates) * own[:, None]).sum(axis=0).argmax()) == label
+    return [i for i in np.argsort(-seen, kind="stable") if seen[i] and won[i] >= LEAST_BORNE_OUT * seen[i]]
+
+
 def fit(sentences: list[tuple[str, list[str]]], rounds: int = 2, steps: int = 30, seed: int = 7) -> LanguageField:
     """Fit the field on (message label, forms of a sentence); labels may be missing or wrong."""
     types: dict[str, int] = {}
@@ -216,13 +242,23 @@ def fit(sentences: list[tuple[str, list[str]]], rounds: int = 2, steps: int = 30
             labels.append(label)
     n_types = len(words)
     if not n_types:
-        return LanguageField(np.zeros((BUCKETS, K), np.float32), np.zeros((K, K)), np.zeros(K), {})
+        return LanguageField(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 1)), np.zeros(1), {})
     key_id = {k: i for i, k in enumerate(dict.fromkeys(keys))}
     of_key = np.array([key_id[k] for k in keys])
-    counts = np.zeros((len(key_id), len(LANGS)))
-    for label, row in zip(labels, spans):
-        if label in LANGS:
-            np.add.at(counts, (of_key[row], LANGS.index(label)), 1)
+    names = sorted({x for x in labels if x})
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    of_label = [names.index(x) if x else -1 for x in labels]
+    counts = np.zeros((len(key_id), len(names)))
+    for label, row in zip(of_label, spans):
+        if label >= 0:
+            np.add.at(counts, (of_key[row], label), 1)
+    chosen = languages_of(counts, names, of_label, [of_key[row] for row in spans])
+    langs = tuple(names[i] for i in chosen)
+    if not langs:
+        return LanguageField(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 1)), np.zeros(1), {})
+    k_states = len(langs) + 1
+    counts = counts[:, chosen]
     totals = counts.sum(axis=0) + 1.0
     share = counts.sum(axis=1, keepdims=True) / max(1.0, counts.sum())
     rates = (counts + 2.0 * share + 1e-9) / (totals[None] + 2.0)
@@ -230,18 +266,19 @@ def fit(sentences: list[tuple[str, list[str]]], rounds: int = 2, steps: int = 30
     log_rate *= np.minimum(1.0, counts.sum(axis=1, keepdims=True) / 4.0)
     name = _name_scorer(sorted(name_bodies - {""}), sorted(lower_seen))
     is_name = np.array([k not in lower_seen and (w[:1].isupper() or k not in lower_seen) and name(k) > 0 for w, k in zip(words, keys)])
-    base = np.zeros((n_types, K), dtype=np.float64)
-    base[:, : len(LANGS)] = log_rate[of_key]
-    base[:, K - 1] = np.where(is_name, 30.0, -30.0)
+    base = np.zeros((n_types, k_states), dtype=np.float64)
+    base[:, : len(langs)] = log_rate[of_key]
+    base[:, k_states - 1] = np.where(is_name, 30.0, -30.0)
     order = log_rate.argsort(axis=1)
-    clear = np.take_along_axis(log_rate, order[:, -1:], 1)[:, 0] - np.take_along_axis(log_rate, order[:, -2:-1], 1)[:, 0] > 1.5
-    hints = {k: LANGS[order[i, -1]] for k, i in key_id.items() if clear[i]}
+    second = np.take_along_axis(log_rate, order[:, -2:-1], 1)[:, 0] if len(langs) > 1 else -1.5
+    clear = np.take_along_axis(log_rate, order[:, -1:], 1)[:, 0] - second > 1.5
+    hints = {k: langs[order[i, -1]] for k, i in key_id.items() if clear[i]}
 
     # a name does not end a stretch: decode the words without names, then put the names back
     spans.sort(key=len)
     bare = [[t for t in row if not is_name[t]] for row in spans]
     gold: list[np.ndarray] = []
-    hard = np.full((K, K), -6.0)
+    hard = np.full((k_states, k_states), -6.0)
     np.fill_diagonal(hard, 0.0)
     for at in range(0, len(spans), 512):
         rows = [(i, r) for i, r in enumerate(bare[at : at + 512]) if r]
@@ -252,7 +289,7 @@ def fit(sentences: list[tuple[str, list[str]]], rounds: int = 2, steps: int = 30
                 decoded[i] = list(tags[: len(r)])
         for i, row in enumerate(spans[at : at + 512]):
             tags = iter(decoded.get(i, []))
-            gold.append(np.array([K - 1 if is_name[t] else next(tags) for t in row]))
+            gold.append(np.array([k_states - 1 if is_name[t] else next(tags) for t in row]))
 
     feats = [features(w, k, hints.get(k, "?")) for w, k in zip(words, keys)]
     flat = np.concatenate([np.array(f) for f in feats])
@@ -260,9 +297,9 @@ def fit(sentences: list[tuple[str, list[str]]], rounds: int = 2, steps: int = 30
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     owner = np.repeat(np.arange(n_types), sizes)
     rng = np.random.default_rng(seed)
-    weights = np.zeros((BUCKETS, K))
-    transitions, start = np.zeros((K, K)), np.zeros(K)
-    square_w, square_t, square_s = np.full_like(weights, 1e-2), np.full((K, K), 1.0), np.full(K, 1.0)
+    weights = np.zeros((BUCKETS, k_states))
+    transitions, start = np.zeros((k_states, k_states)), np.zeros(k_states)
+    square_w, square_t, square_s = np.full_like(weights, 1e-2), np.full((k_states, k_states), 1.0), np.full(k_states, 1.0)
     blocks = [np.arange(a, min(a + 256, len(spans))) for a in range(0, len(spans), 256)]
     for turn in range(rounds):
         todo = [b for _ in range(max(1, steps // max(1, len(blocks)))) for b in rng.permutation(len(blocks))] if len(blocks) < steps else list(rng.permutation(len(blocks)))
@@ -273,7 +310,7 @@ def fit(sentences: list[tuple[str, list[str]]], rounds: int = 2, steps: int = 30
             local[used] = np.arange(len(used))
             picks = np.isin(owner, used)
             w_flat, w_owner = flat[picks], local[owner[picks]]
-            table = np.stack([np.bincount(w_owner, weights[w_flat, k], len(used)) for k in range(K)], axis=1)
+            table = np.stack([np.bincount(w_owner, weights[w_flat, k], len(used)) for k in range(k_states)], axis=1)
             emis, lengths, ids = _padded([[local[t] for t in r] for r in rows], table)
             post, expected = forward_backward(emis, lengths, transitions, start, pairs=True)
             mask = np.arange(emis.shape[1])[None] < lengths[:, None]
@@ -283,10 +320,10 @@ def fit(sentences: list[tuple[str, list[str]]], rounds: int = 2, steps: int = 30
             diff = -post
             np.put_along_axis(diff, tags[..., None], np.take_along_axis(diff, tags[..., None], 2) + 1, 2)
             diff *= mask[..., None]
-            per_type = np.stack([np.bincount(ids.ravel(), diff[..., k].ravel(), len(used)) for k in range(K)], axis=1)
+            per_type = np.stack([np.bincount(ids.ravel(), diff[..., k].ravel(), len(used)) for k in range(k_states)], axis=1)
             ids_u, inverse = np.unique(w_flat, return_inverse=True)
-            grad = np.stack([np.bincount(inverse, per_type[w_owner, k], len(ids_u)) for k in range(K)], axis=1) - 0.01 * weights[ids_u]
-            observed = np.zeros((K, K))
+            grad = np.stack([np.bincount(inverse, per_type[w_owner, k], len(ids_u)) for k in range(k_states)], axis=1) - 0.01 * weights[ids_u]
+            observed = np.zeros((k_states, k_states))
             both = mask[:, 1:]
             np.add.at(observed, (tags[:, :-1][both], tags[:, 1:][both]), 1)
             square_w[ids_u] += grad**2
@@ -294,17 +331,17 @@ def fit(sentences: list[tuple[str, list[str]]], rounds: int = 2, steps: int = 30
             g = observed - expected - 0.01 * transitions
             square_t += g**2
             transitions += 0.3 * g / np.sqrt(square_t)
-            g = np.bincount(tags[:, 0], minlength=K) - post[:, 0].sum(axis=0)
+            g = np.bincount(tags[:, 0], minlength=k_states) - post[:, 0].sum(axis=0)
             square_s += g**2
             start += 0.3 * g / np.sqrt(square_s)
         if turn + 1 < rounds:
-            table = np.stack([np.bincount(owner, weights[flat, k], n_types) for k in range(K)], axis=1)
+            table = np.stack([np.bincount(owner, weights[flat, k], n_types) for k in range(k_states)], axis=1)
             for at in range(0, len(spans), 512):
                 emis, lengths, _ = _padded(spans[at : at + 512], table)
                 post, _ = forward_backward(emis, lengths, transitions, start)
                 for i, row in enumerate(spans[at : at + 512]):
                     gold[at + i] = post[i, : len(row)].argmax(axis=1)
-    return LanguageField(weights.astype(np.float32), transitions, start, hints)
+    return LanguageField(weights.astype(np.float32), transitions, start, hints, langs)
 
 
 def sentences_of(words: DataFrame) -> DataFrame:
@@ -336,6 +373,7 @@ def train(messages: DataFrame, words: DataFrame, max_messages: int = 4000) -> La
 def _label_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageField = shared.value
+        n_states = len(model.langs) + 1
         for batch in batches:
             docs, sents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             forms, idxs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -355,7 +393,7 @@ def _label_batches(shared):
                     block = block[: len(block) // 2]
                 at += len(block)
                 lengths = np.array([len(r[1]) for r in block])
-                emis = np.zeros((len(block), lengths.max(), K))
+                emis = np.zeros((len(block), lengths.max(), n_states))
                 for i, r in enumerate(block):
                     emis[i, : lengths[i]] = r[2]
                 post, _ = forward_backward(emis, lengths, model.transitions, model.start)
@@ -364,7 +402,7 @@ def _label_batches(shared):
                     run_tag, begin, end, n, conf = -1, 0, 0, 0, 0.0
                     for j in [*range(lengths[i]), -1]:
                         tag = -1 if j < 0 else tags[i, j]
-                        if tag == K - 1:
+                        if tag == n_states - 1:
                             continue
                         if tag != run_tag:
                             if n:
@@ -372,7 +410,7 @@ def _label_batches(shared):
                                 out["sent_id"].append(sents[row])
                                 out["first_idx"].append(idxs[row][begin])
                                 out["last_idx"].append(idxs[row][end])
-                                out["lang"].append(LANGS[run_tag])
+                                out["lang"].append(model.langs[run_tag])
                                 out["n_words"].append(n)
                                 out["confidence"].append(conf / n)
                             run_tag, begin, n, conf = tag, places[j], 0, 0.0
@@ -397,7 +435,11 @@ def message_languages(spark: SparkSession, messages: DataFrame, words: DataFrame
     spans = stretches(words, train(messages, words, max_messages))
     per = spans.groupBy("doc_id", "lang").agg(F.sum("n_words").alias("n"), F.sum(F.col("confidence") * F.col("n_words")).alias("c"))
     best = per.groupBy("doc_id").agg(F.max_by(F.struct("lang", "n", "c"), F.struct("n", "lang")).alias("b"), F.sum("n").alias("total"))
-    return best.select("doc_id", F.col("b.lang").alias("lang"), F.round(F.col("b.n") / F.col("total"), 6).alias("share"), F.round(F.col("b.c") / F.col("b.n"), 4).alias("confidence"))
+    ids = messages.where(F.col("id").isNotNull()).select(F.col("id").alias("doc_id")).union(words.where(F.col("doc_id").isNotNull()).select("doc_id")).distinct()
+    rated = ids.join(best, "doc_id", "left")
+    return rated.select(
+        "doc_id", F.coalesce("b.lang", F.lit("und")).alias("lang"), F.coalesce(F.round(F.col("b.n") / F.col("total"), 6), F.lit(0.0)).alias("share"), F.coalesce(F.round(F.col("b.c") / F.col("b.n"), 4), F.lit(0.0)).alias("confidence")
+    )
 
 
 def mislabelled_sentences(messages: DataFrame, words: DataFrame, least_words: int = 5, max_messages: int = 4000) -> DataFrame:

@@ -155,6 +155,24 @@ def test_languages_of_stretches(spark):
     assert ("0", "en") in found and ("11", "de") in found and ("1", "de") not in found
 
 
+def test_languages_come_from_the_labels(spark):
+    messages, words = message_frames(spark)
+    assert set(langid.train(messages, words).langs) == {"de", "en"}
+    named = {"de": "sv", "en": "pl"}
+    other = messages.replace(named, subset="lang")  # no list of languages knows these texts
+    wrong = other.withColumn("lang", F.when(F.col("id").cast("int") % 17 == 0, "da").otherwise(F.col("lang")))
+    assert set(langid.train(wrong, words).langs) == {"sv", "pl"}
+    spans = langid.stretches(words, langid.train(wrong, words)).toPandas()
+    assert set(spans["lang"]) == {"sv", "pl"}
+
+
+def test_messages_without_words(spark):
+    messages, words = message_frames(spark, 30)
+    more = messages.union(spark.createDataFrame([("empty", "de"), (None, "de")], messages.schema))
+    got = {r["doc_id"]: (r["lang"], r["confidence"]) for r in langid.message_languages(spark, more, words).collect()}
+    assert got["empty"] == ("und", 0.0) and got["1"][0] == "de" and None not in got
+
+
 def test_language_of_dirty_words():
     assert langid.spelling(langid.plain("ｓｔｒａßｅ")) == langid.spelling("STRASSE") and langid.spelling("gruendlich") == langid.spelling("gründlich")
     assert not langid.is_word("@abc") and not langid.is_word("#abc") and not langid.is_word("42") and not langid.is_word("😀") and langid.is_word("l'été")
