@@ -80,9 +80,16 @@ class Transducer:
         return known
 
     def piece(self, text: str) -> list[int]:
-        """Ids of a complete pre-token."""
-        stream = PieceStream(self)
-        return [*stream.feed(text.encode("utf-8")), *stream.end()]
+        """Ids of a complete pre-token by the byte transducer; those of short ones are remembered."""
+        ids = self.memory.get(text)
+        if ids is None:
+            stream = PieceStream(self)
+            ids = [*stream.feed(text.encode("utf-8")), *stream.end()]
+            if len(text) <= 40:
+                if len(self.memory) > 300_000:
+                    self.memory.clear()
+                self.memory[text] = ids
+        return ids
 
 
 class PieceStream:
@@ -182,12 +189,14 @@ class TextStream:
         self.rest += chunk
         return self._take(final=False)
 
-    def end(self) -> list[int]:
+    def end(self, chunk: str = "") -> list[int]:
+        """The rest of the ids, after a last chunk if there is one."""
+        self.rest += chunk
         return self._take(final=True)
 
     def _take(self, final: bool) -> list[int]:
         out: list[int] = []
-        if self.open is not None:
+        while self.open is not None:
             out += self._continue(final)
             if self.open is not None:
                 return out
@@ -254,20 +263,18 @@ def _transducer(raw: bytes) -> Transducer:
     return _LOADED[key]
 
 
+#: Characters that the streaming encoder is given at once.
+CHUNK = 1 << 16
+
+
 def encode_text(transducer: Transducer, text: str | None) -> list[int]:
+    """Ids of a text, which goes through the streaming encoder chunk by chunk."""
     if not text:
         return []
-    memory, out = transducer.memory, []
-    for piece in _pattern().findall(text):
-        ids = memory.get(piece)
-        if ids is None:
-            ids = transducer.piece(piece)
-            if len(piece) <= 40:
-                if len(memory) > 300_000:
-                    memory.clear()
-                memory[piece] = ids
-        out += ids
-    return out
+    stream, out, last = TextStream(transducer), [], (len(text) - 1) // CHUNK * CHUNK
+    for at in range(0, last, CHUNK):
+        out += stream.feed(text[at : at + CHUNK])
+    return out + stream.end(text[last:])
 
 
 def _encode(shared):

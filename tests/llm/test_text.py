@@ -250,6 +250,56 @@ def test_stream_in_chunks(transducer, library, monkeypatch):
         assert out + stream.end() == library.encode_ordinary(text)
 
 
+@needs_ranks
+def test_every_id_comes_from_the_transducer(library, monkeypatch):
+    with open(bpe.DEFAULT_RANKS, "rb") as file:
+        fresh = bpe.Transducer(bpe.parse_ranks(file.read()))
+    calls, steps = [], [0]
+    plain, step, fits = bpe.Transducer.merge, bpe.PieceStream._step, bpe.Transducer.fits
+    inside = [False]
+
+    def asked(self, left, right):
+        inside[0] = True
+        try:
+            return fits(self, left, right)
+        finally:
+            inside[0] = False
+
+    monkeypatch.setattr(bpe.Transducer, "merge", lambda self, raw: (calls.append(raw) if not inside[0] else None, plain(self, raw))[1])
+    monkeypatch.setattr(bpe.Transducer, "fits", asked)
+    monkeypatch.setattr(bpe.PieceStream, "_step", lambda self, byte: (steps.__setitem__(0, steps[0] + 1), step(self, byte))[1])
+    text = "Die Fährgesellschaft prüft's heute wieder, 12345 mal!? " + "x" * 3000
+    assert bpe.encode_text(fresh, text) == library.encode_ordinary(text)
+    assert not calls and steps[0] >= len("".join(dict.fromkeys(text.split())).encode())
+
+
+@needs_ranks
+def test_long_texts_in_constant_memory(transducer, library):
+    import tracemalloc
+
+    part = "Der Bäcker  zählt 123 Möhren.\n\n" + "a" * 5000 + " " * 3000 + "!?" * 2000 + "é" * 4000
+    stream, n = bpe.TextStream(transducer), 0
+    for chunk in (part[:700], part[700:]):
+        n += len(stream.feed(chunk))
+    tracemalloc.start()
+    for _ in range(9):
+        for at in range(0, len(part), 4096):
+            n += len(stream.feed(part[at : at + 4096]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n += len(stream.end())
+    assert n == len(library.encode_ordinary(part * 10)) and peak < 4_000_000
+
+
+@needs_ranks
+def test_chunks_of_the_frame_encoder(transducer, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 7)
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice(["ab", " ", "  ", "\n", "'s", "12", "é", "!?", "🙂", "word "]) for _ in range(rng.randint(0, 40)))
+        assert bpe.encode_text(transducer, text) == library.encode_ordinary(text)
+
+
 @needs_ranks
 def test_encode_frame(spark, library):
     texts = [None, "", "<|endoftext|>", "Hallo Welt", "a" * 30_000, "Hallo Welt", " \n"]
