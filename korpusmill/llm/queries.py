@@ -97,4 +97,8 @@ ORACLES: dict[str, str] = {
  i as (select file_name, words, sum(c) as m, sum(c * c) as sq from c group by 1, 2), p as (select sum(m) as n, count(*) as n_items, sum((m * m - sq) / (m - 1)) as differ from i), e as (select sum(k * k) as sq from (select label, sum(c) as k from c group by 1))
  select n_items, n::bigint as n_votes, round(1 - (n - 1) * differ / (n * n - sq), 6) as alpha from p, e""",
     "p8_roundtrip": "select count(*) as n_docs, count(*) as n_same from documents",
+    "p10_clusters": """with recursive w as (select doc_id, text[pos:pos + 119] as s from (select doc_id, text, unnest(range(1, length(text) - 118)) as pos from documents where length(text) >= 120)),
+ e as (select distinct w.doc_id as a, h.head as b from w join (select s, min(doc_id) as head from w group by 1 having min(doc_id) < max(doc_id)) h using (s)), both_ways as (select a, b from e union select b, a from e),
+ reach(node, other) as (select a, a from both_ways union select r.node, b.b from reach r join both_ways b on b.a = r.other)
+ select node as doc_id, min(other) as cluster from reach group by 1""",
 }
