@@ -51,8 +51,19 @@ def slang_normalize(spark, d):
 
 @R.add()
 def umlaut_restore(spark, d):
-    rows = _docs(spark, d).where("lang = 'de'").where(F.lower("text").rlike("[aou]e"))
-    return rows.select("doc_id", noise.UmlautRestorer().column(F.col("text")).getField("text").alias("text"))
+    rows = _docs(spark, d).where("lang = 'de'")
+    candidate = F.when(F.col("text").rlike("(?i)[aou]e"), F.col("text"))  # the others stay in the JVM
+    return rows.select("doc_id", F.coalesce(noise.UmlautRestorer().column(candidate).getField("text"), F.col("text")).alias("text"))
+
+
+@R.add()
+def corpus_preprocess(spark, d):
+    """The whole preprocessing of German messages: plain characters, noise, slang, umlauts, then the corpus line."""
+    rows = _docs(spark, d).where("lang = 'de'").select("doc_id", noise.clean_noise(fn.plain_characters(F.col("text"))).getField("text").alias("text"))
+    slang = rows.select("doc_id", noise.normalize_slang(F.col("text")).alias("text"))
+    candidate = F.when(F.col("text").rlike("(?i)[aou]e"), F.col("text"))
+    restored = slang.select("doc_id", F.coalesce(noise.UmlautRestorer().column(candidate).getField("text"), F.col("text")).alias("text"))
+    return ngrams.corpus_lines(restored)
 
 
 @R.add()

@@ -333,6 +333,19 @@ def evidence_atoms(spark, d):
     return rows.join(tokens.select("doc_id", "sent_id", "idx", "tok_id"), ["doc_id", "sent_id", "idx"]).select("tok_id", "atom")
 
 
+@R.add()
+def evidence_atoms_all(spark, d):
+    """All evidence atoms, those of features too."""
+    evidence, _ = features.split_evidence(features.logic_atoms(_tokens(spark, d)), ["Connector"])
+    return evidence
+
+
+@R.add()
+def grammatical_features_all(spark, d):
+    """Case, tense and gender of every token, those with named features too."""
+    return features.grammatical(_tokens(spark, d)).select("tok_id", "case", "tense", "gender")
+
+
 @R.add(f"with {TOK} select doc_id, sent_id, idx, form, coalesce(lemma, '_') as lemma, coalesce(pos, '_') as pos, '_' as feat, -1 as head from tok")
 def tagged_to_conll(spark, d):
     from korpusmill.operators.tokens import tagged_to_conll as convert

@@ -137,3 +137,12 @@ def test_short_pieces_go_through_the_transducer(monkeypatch):
     monkeypatch.setattr(bpe.PieceStream, "_step", lambda self, byte: (used.append(byte), step(self, byte))[1])
     assert transducer.piece("abcab") == transducer.merge(b"abcab") == [257, 256]
     assert len(used) == 5
+
+
+def test_preprocessing_is_chained(spark, tables):
+    texts = ["RT @anna: Gruesse aus Koeln!!! http://x.de", "nix da… #Kuchen", "", None, "alles gut"]
+    d = tables(documents=([(f"d{i}", t, "de") for i, t in enumerate(texts)], "doc_id string, text string, lang string"))
+    got = {r["doc_id"]: r["line"] for r in registry.QUERIES["corpus_preprocess"](spark, d).collect()}
+    assert got == {"d0": "grüsse aus köln", "d1": "nichts da kuchen", "d4": "alles gut"}
+    whole = {r["doc_id"]: r["text"] for r in registry.QUERIES["umlaut_restore"](spark, d).collect()}
+    assert set(whole) == {"d0", "d1", "d2", "d4"} and "Köln" in whole["d0"] and whole["d4"] == "alles gut"
