@@ -51,8 +51,8 @@ def sentence_marks(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("mark", F.when(F.col("idx") == F.min("idx").over(w), BOS).when(F.col("idx") == F.max("idx").over(w), EOS))
 
 
-def template_features(tokens: DataFrame, score: str | None = None, signed: bool = True) -> DataFrame:
-    """(doc_id, sent_id, idx, features): the string features of each token.
+def template_features(tokens: DataFrame, score: str | None = None, signed: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, sent_id, idx, features): the string features of each token, with its columns ``keep``.
 
     Templates that reach beyond the sentence are skipped. ``score`` names a polarity
     column; with ``signed`` off its absolute value is used, so no class is negative.
@@ -71,7 +71,7 @@ def template_features(tokens: DataFrame, score: str | None = None, signed: bool
     named += [("deprel[-1]|deprel[0]", F.when(F.col("_rm").isNotNull(), F.concat_ws("|", "_rm", "_r"))), ("deprel[0]", F.col("_r")), ("deprel[0]|deprel[1]", F.when(F.col("_rp").isNotNull(), F.concat_ws("|", "_r", "_rp")))]
     feats = [F.when(v.isNotNull(), F.concat(F.lit(n + "="), v)) for n, v in named]
     feats.append(F.when(F.col("phead") == F.col("_pi"), "prevWordIsMyParent=True").when(F.col("_ph") == F.col("idx"), "prevWordIsMyChild=True"))
-    return rows.select(*SENT, "idx", F.array_compact(F.array(*feats)).alias("features"))
+    return rows.select(*SENT, "idx", *keep, F.array_compact(F.array(*feats)).alias("features"))
 
 
 def target_tag(flags: DataFrame, narrow: bool = False) -> DataFrame:

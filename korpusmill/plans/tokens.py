@@ -107,12 +107,10 @@ def grammatical_features(spark, d):
  case when phead = lag(idx) over w then 'parent' when lag(phead) over w = idx then 'child' end as prev_is from r window w as (partition by doc_id, sent_id order by idx)"""
 )
 def template_features(spark, d):
-    tokens = _tokens(spark, d)
-    feats = features.template_features(tokens)
+    feats = features.template_features(_tokens(spark, d), keep=("tok_id",))
     value = lambda name: F.get(F.filter("features", lambda f: f.startswith(name + "=")), F.lit(0)).substr(F.lit(len(name) + 2), F.lit(10000))
     prev = F.when(F.array_contains("features", "prevWordIsMyParent=True"), "parent").when(F.array_contains("features", "prevWordIsMyChild=True"), "child")
-    rows = feats.select("doc_id", "sent_id", "idx", value("deprel[-1]|deprel[0]").alias("before"), value("deprel[0]|deprel[1]").alias("after"), prev.alias("prev_is"))
-    return rows.join(tokens.select("doc_id", "sent_id", "idx", "tok_id"), ["doc_id", "sent_id", "idx"]).select("tok_id", "before", "after", "prev_is")
+    return feats.select("tok_id", value("deprel[-1]|deprel[0]").alias("before"), value("deprel[0]|deprel[1]").alias("after"), prev.alias("prev_is"))
 
 
 @R.add(
@@ -120,9 +118,8 @@ def template_features(spark, d):
  union all select tok_id, 'Connector("W_' || sent_id || '_' || idx || '", "W_' || sent_id || '_' || phead || '", ' || case when pdeprel = '--' then 'CPUNCT' else coalesce(pdeprel, '_') end || ')' from tok where phead is not null"""
 )
 def logic_atoms(spark, d):
-    tokens = _tokens(spark, d)
-    atoms = features.logic_atoms(tokens).where(F.col("atom").rlike(r"^(?:Tag|Connector)\("))
-    return atoms.join(tokens.select("doc_id", "sent_id", "idx", "tok_id"), ["doc_id", "sent_id", "idx"]).select("tok_id", "atom")
+    atoms = features.logic_atoms(_tokens(spark, d), keep=("tok_id",)).where(F.col("atom").rlike(r"^(?:Tag|Connector)\("))
+    return atoms.select("tok_id", "atom")
 
 
 @R.add()
@@ -327,10 +324,8 @@ def sentiment_lines(spark, d):
 
 @R.add(f"""with {TOK} select tok_id, 'Tag("W_' || sent_id || '_' || idx || '", ' || case pos when '$.' then 'TPUNCT' when '$,' then 'TCOMMA' when '$(' then 'TBRACE' else coalesce(pos, '_') end || ').' as atom from tok""")
 def evidence_atoms(spark, d):
-    tokens = _tokens(spark, d)
-    evidence, _ = features.split_evidence(features.logic_atoms(tokens), ["Connector"])
-    rows = evidence.where(F.col("atom").startswith("Tag("))
-    return rows.join(tokens.select("doc_id", "sent_id", "idx", "tok_id"), ["doc_id", "sent_id", "idx"]).select("tok_id", "atom")
+    evidence, _ = features.split_evidence(features.logic_atoms(_tokens(spark, d), keep=("tok_id",)), ["Connector"])
+    return evidence.where(F.col("atom").startswith("Tag(")).select("tok_id", "atom")
 
 
 @R.add()
