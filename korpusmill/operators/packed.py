@@ -126,8 +126,9 @@ def with_separators(fields: DataFrame) -> DataFrame:
 def pieces_of(value: Column, seps: Column) -> Column:
     """Array of unquoted, non-empty pieces of a field split at the characters of ``seps``."""
     inner = F.regexp_replace(seps, r"([|/\\\]\[^-])", r"\\$1")
-    pattern = F.concat(F.lit(QUOTED + '|"[^'), inner, F.lit(']*|[^"'), inner, F.lit("][^"), inner, F.lit("]*"))
-    raw = F.regexp_extract_all(value, F.when(seps == "", F.lit(QUOTED + '|[^"].*')).otherwise(pattern), F.lit(0))
+    quoted = " *" + QUOTED  # blanks before a quote are padding even where a blank separates nothing
+    pattern = F.concat(F.lit(quoted + '|"[^'), inner, F.lit(']*|[^"'), inner, F.lit("][^"), inner, F.lit("]*"))
+    raw = F.regexp_extract_all(value, F.when(seps == "", F.lit(quoted + '|[^"].*')).otherwise(pattern), F.lit(0))
 
     def bare(x: Column) -> Column:
         t = F.trim(x)

@@ -118,6 +118,11 @@ def test_separators_that_belong_to_values_are_rejected(spark):
     assert got[0] == ["3,5", "2,75"] and got[1] == ["10,0"] and got[1000] == ["10 km/h", "20 km/h"] and got[1002] == ["7 km/h", "9 km/h"] and got[2002] == ["y", "z", "x"]
 
 
+def test_padding_before_quotes(spark):
+    got = split(spark, ['a, "x/y; z", b', 'c | "p, q"', '"r"  ,  "s;t"', "a", "b,c", "d|e", "f,g|h"] * 5)
+    assert got[:3] == [["a", "x/y; z", "b"], ["c", "p, q"], ["r", "s;t"]]
+
+
 def test_rare_candidates_follow_the_table(spark):
     rows = [("t", "big", i, v) for i, v in enumerate(["x;y", "x", "y;z"] * 50)] + [("t", "small", 0, "x;z")] + [("u", "one", 0, "a|b")]
     seps = packed.inferred_separators(spark.createDataFrame(rows, "src_table string, source string, row_key bigint, value string"))
