@@ -335,7 +335,23 @@ def scopes_of(found: list[tuple[int, int, str]], units: list[Unit], first_word:
     return out
 
 
-def connective_arguments(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+def gathered_sentences(words: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, tokens): the tokens of each sentence in order, the first delivered of each position.
+
+    One shuffle by document, which the sentences and a window over them keep.
+    """
+    at = F.col("tok_id") if "tok_id" in words.columns else F.lit(0)
+    item = F.struct(
+        "idx", at.alias("at"), F.coalesce("form", F.lit("")).alias("form"), F.coalesce("lemma", "form", F.lit("")).alias("lemma"), F.coalesce("pos", F.lit("XY")).alias("pos"),
+        F.coalesce("phead", F.lit(-1)).alias("head"), F.coalesce("feat", F.lit("")).alias("feat"), F.col("form").isNotNull().alias("held"),
+    )
+    placed = words.select("doc_id", "sent_id", item.alias("item")).repartition("doc_id")
+    rows = placed.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list("item")).alias("tokens"))
+    once = F.filter("tokens", lambda t, i: (i == 0) | (F.get("tokens", i - 1)["idx"] != t["idx"]))
+    return rows.withColumn("tokens", once)
+
+
+def connective_arguments(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Connectives of each sentence with their type and arguments, in one pass over the gathered sentences.
 
     Units, connectives and scopes all come from the same sentence; the text of the sentence before it
@@ -344,11 +360,9 @@ def connective_arguments(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     matcher = connective_matcher(lexicon)
-    item = F.struct("idx", F.coalesce("form", F.lit("")).alias("form"), F.coalesce("lemma", "form", F.lit("")).alias("lemma"), F.coalesce("pos", F.lit("XY")).alias("pos"), F.coalesce("phead", F.lit(-1)).alias("head"), F.coalesce("feat", F.lit("")).alias("feat"), F.col("form").isNotNull().alias("held"))
-    rows = tokens.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(item)).alias("tokens"))
     text = F.array_join(F.transform(F.filter("tokens", lambda t: t["held"]), lambda t: t["form"]), " ")
     order = W.partitionBy("doc_id").orderBy("sent_id")
-    near = rows.withColumn("text", text).withColumn("previous", F.when(F.lag("sent_id").over(order) == F.col("sent_id") - 1, F.lag("text").over(order))).drop("text")
+    rows = gathered_sentences(words).withColumn("text", text).withColumn("previous", F.when(F.lag("sent_id").over(order) == F.col("sent_id") - 1, F.lag("text").over(order))).drop("text")
 
     def run(batches):
         segmenter, odd = UnitSegmenter(), frozenset("@#" + string.punctuation)
@@ -366,7 +380,7 @@ def connective_arguments(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
                     out.append((doc, sent, a, b, matcher.entries[n][0], kind, matcher.entries[n][2], *scope))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCOPE_DDL.split(", ")])
 
-    return near.mapInPandas(run, SCOPE_DDL)
+    return rows.mapInPandas(run, SCOPE_DDL)
 
 
 # --- outputs ---------------------------------------------------------------------------------------------

@@ -215,5 +215,5 @@ def connective_counts_all(spark, d):
 @R.add()
 def connective_arguments(spark, d):
     lexicon = spark.createDataFrame(discourse.CONNECTIVES, discourse.CONNECTIVE_DDL)
-    scopes = discourse.connective_arguments(_tokens(spark, d), lexicon)
+    scopes = discourse.connective_arguments(table(spark, d, "conll_words"), lexicon)
     return scopes.withColumn("orth", F.array_join("orth", " ")).withColumn("rel", F.array_join("rel", ","))
