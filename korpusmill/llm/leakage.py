@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusmill.llm.windows import blocks, window_minhash
+from korpusmill.llm.windows import _slide, blocks, gram_hashes, window_minhash
 from korpusmill.session import checkpoint
 
 WINDOW, SHINGLE = 13, 5
@@ -127,7 +127,9 @@ def _windows(key: str, shared=None):
                     low = window_minhash(values, WINDOW, SHINGLE)
                     keep = starts[: len(low)]
                     if shared is not None:
-                        keep = keep & _hits(low, *shared.value)
+                        by_minhash, by_shingle = shared.value
+                        known = _hits(gram_hashes(values, SHINGLE), *by_shingle)
+                        keep = keep & _hits(low, *by_minhash) & _slide(known, WINDOW - SHINGLE + 1, np.logical_and)
                     at = np.flatnonzero(keep)
                     who, pos = owner[at].tolist(), place[at].tolist()
                     wins = [" ".join(words[i][p : p + WINDOW]) for i, p in zip(who, pos)]
@@ -136,6 +138,15 @@ def _windows(key: str, shared=None):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct shingle hashes of the texts of a batch."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for rows in _chunks(texts):
+            for values, _, _, starts in blocks([_codes(words_of(texts[i])) for i in rows], WINDOW):
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.unique(gram_hashes(values, SHINGLE))))], ["h"])
+
+
 def item_windows(items: DataFrame) -> DataFrame:
     """(item_id, minhash, win): the query sets, written once because they are used three times."""
     tests = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
@@ -143,10 +154,13 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def leak_windows(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, win): every shared window of 13 words of a document and an item, verified. ``items`` are item windows."""
+    """(doc_id, item_id, win): every shared window of 13 words of a document and an item, verified. ``items`` are item windows.
+
+    Windows that a document repeats are repeated. A window moves if its MinHash value is an item's and all its shingles are contained in those of the items.
+    """
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
-    shared = documents.sparkSession.sparkContext.broadcast(signature_filter(items.select("minhash")))
-    of_docs = docs.mapInArrow(_windows("doc_id", shared), "doc_id bigint, minhash bigint, win string").distinct()
+    shared = documents.sparkSession.sparkContext.broadcast((signature_filter(items.select("minhash")), signature_filter(items.select(F.col("win").alias("text")).mapInArrow(_shingles, "h bigint"))))
+    of_docs = docs.mapInArrow(_windows("doc_id", shared), "doc_id bigint, minhash bigint, win string")
     # candidates by MinHash value, verified by the words; as one equi-join a frequent value makes no pairs that fail.
     # The planner takes the windows to be as small as the texts they come from; merge, never broadcast them
     return of_docs.join(items.hint("merge"), ["minhash", "win"]).select("doc_id", "item_id", "win")
@@ -160,6 +174,6 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 def leak_containment(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shared, n_windows, containment): share of the item's windows found."""
     tests = item_windows(items)
-    shared = leak_windows(documents, tests).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    shared = leak_windows(documents, tests).distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
     sizes = tests.groupBy("item_id").agg(F.count_distinct("win").alias("n_windows"))
     return shared.join(sizes, "item_id").select("doc_id", "item_id", "n_shared", "n_windows", F.round(F.col("n_shared") / F.col("n_windows"), 6).alias("containment"))
