@@ -119,17 +119,21 @@ def split_by_difference(markables: DataFrame, attribute: str = "diff_type") -> t
 
 
 def restore_replacements(tokens: DataFrame, log: DataFrame, restore: list[str], key: str = "doc_id") -> DataFrame:
-    """Tokens with the original text put back where a replacement lies inside them.
+    """Tokens with the original text put back wherever a replacement lies inside them.
 
     ``tokens``: key, pos, token, start, len; ``log``: key, offset, length, orig, replacement.
     The offsets of a message bound the join: it goes per message.
     """
     wanted = log.where(F.col("replacement").isin(restore)).select(key, "offset", "length", "orig")
     inside = (F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("start") + F.col("len"))
-    hits = tokens.join(wanted, key).where(inside).groupBy(key, "pos").agg(F.min_by(F.struct("offset", "length", "orig"), "offset").alias("h"))
+    hits = tokens.join(wanted, key).where(inside).groupBy(key, "pos").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "orig")), asc=False).alias("h"))
     joined = tokens.join(hits, [key, "pos"], "left")
-    at = F.col("h.offset") - F.col("start")
-    new = F.concat(F.substring("token", F.lit(1), at), F.col("h.orig"), F.substring("token", at + F.col("h.length") + 1, F.lit(1_000_000)))
+
+    def put(token, entry):
+        at = entry["offset"] - F.col("start")
+        return F.concat(F.substring(token, F.lit(1), at), entry["orig"], F.substring(token, at + entry["length"] + 1, F.length(token)))
+
+    new = F.aggregate("h", F.col("token"), put)  # the last one first, so offsets before it hold
     return joined.select(key, "pos", F.when(F.col("h").isNotNull(), new).otherwise(F.col("token")).alias("token"), "start", "len")
 
 

@@ -7,7 +7,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,9 @@ from korpusmill.operators.patterns import LOG, RESULT, MapRules, MultiPattern, P
 #: Small map of colloquial forms (our own examples; callers bring their own).
 SLANG = {"nich": "nicht", "net": "nicht", "nix": "nichts", "is": "ist", "isses": "ist es", "hab": "habe", "haste": "hast du", "gehts": "geht es", "gibts": "gibt es", "wirds": "wird es", "mal": "einmal", "drauf": "darauf", "ma": "einmal", "vllt": "vielleicht", "evtl": "eventuell"}
 
+#: Characters of messages whose tokens are handled at once.
+BLOCK = 2_000_000
+
 #: Vowels that an e behind them may turn into an umlaut, the letters that forbid it in front and behind (fixed values).
 UMLAUT_OF = {"a": "ä", "o": "ö", "u": "ü"}
 NOT_BEHIND = {"a": "ae@", "o": "ae@", "u": "aeqä@"}
@@ -47,6 +53,61 @@ def clean_noise(text: Column, rules: PatternRules | None = None) -> Column:
     return F.when(suspect.isNotNull(), run(suspect)).otherwise(F.struct(text.alias("text"), F.array().cast(LOG).alias("log")))
 
 
+def restored_tokens(docs: DataFrame, restore: list[str], key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, pos, token, start, len): plain tokens of the cleaned messages, the original text put back for the placeholders in ``restore``.
+
+    Tokens and replacements come from the same message, so it is cleaned once and nothing has to meet
+    in a join. ``start`` and ``len`` are places in the cleaned text. A token may hold several placeholders.
+    """
+    wanted = frozenset(restore)
+
+    def tokens_of(texts: list[str], suspect: list[bool], cleaner: NoiseCleaner) -> tuple[np.ndarray, list]:
+        """Number of tokens of each message, and the columns pos, token, start, len."""
+        texts, logs = list(texts), []
+        for i, t in enumerate(texts):
+            if suspect[i]:
+                log = ReplacementLog()
+                texts[i] = cleaner.clean(t, log)
+                logs += [(i, e["offset"], e["length"], e["orig"]) for e in reversed(log.entries) if e["replacement"] in wanted]
+        lists = pc.split_pattern(pa.array(texts, pa.string()), pattern=" ")
+        tokens, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        length = pc.utf8_length(tokens).to_numpy().astype(np.int64)
+        start = np.cumsum(length + 1) - length - 1
+        start -= np.repeat(start[first], sizes)
+        put: dict[int, str] = {}
+        for i, offset, size, orig in logs:  # from the end of a message on, so offsets before it hold
+            own = slice(first[i], first[i] + sizes[i])
+            k = int(first[i] + np.searchsorted(start[own], offset, "right") - 1)
+            at = int(offset - start[k])
+            if at < length[k]:
+                token = put[k] if k in put else tokens[k].as_py()
+                put[k] = token[:at] + orig + token[at + size :]
+        if put:
+            where = np.zeros(len(tokens), dtype=bool)
+            where[list(put)] = True
+            tokens = pc.replace_with_mask(tokens, pa.array(where), pa.array([put[k] for k in sorted(put)], pa.string()))
+        pos = np.arange(len(tokens)) - np.repeat(first, sizes)
+        return sizes, [pa.array(pos, pa.int32()), tokens, pa.array(start, pa.int64()), pa.array(length, pa.int32())]
+
+    def run(batches):
+        cleaner = NoiseCleaner()
+        for batch in batches:
+            keys, texts, suspect = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ends = np.cumsum([len(t) for t in texts])
+            low = 0
+            while low < len(texts):
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK, "right")))
+                sizes, columns = tokens_of(texts[low:high], suspect[low:high], cleaner)
+                own = keys.slice(low, high - low).take(pa.array(np.repeat(np.arange(high - low), sizes)))
+                yield pa.RecordBatch.from_arrays([own, *columns], names=[key, "pos", "token", "start", "len"])
+                low = high
+
+    text = F.col(column)
+    rows = docs.where(text.isNotNull()).select(key, text.alias("text"), text.rlike(SUSPECT).alias("suspect"))
+    return rows.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, pos int, token string, start bigint, len int")
+
+
 def normalize_slang(text: Column, rules: MapRules | None = None) -> Column:
     return (rules or MapRules(SLANG, ignore_case=True, whole_words=True)).column(text)
 

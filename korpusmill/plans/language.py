@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from korpusmill.functions import text as fn
-from korpusmill.operators import annotations, conll, discourse, grammar, ngrams, noise, segments
+from korpusmill.operators import conll, discourse, grammar, ngrams, noise, segments
 from korpusmill.operators.tokens import pattern_tokens
 from korpusmill.plans.base import Registry
 from korpusmill.session import table
@@ -36,12 +36,7 @@ def replacement_log(spark, d):
 @R.add()
 def noise_restore(spark, d):
     """User names put back into the tokens of the cleaned messages."""
-    cleaned = _docs(spark, d).select("doc_id", noise.clean_noise(F.col("text")).alias("c"))
-    from korpusmill.operators.tokens import token_table
-
-    tokens = token_table(cleaned.select("doc_id", F.col("c.text").alias("text")), "doc_id")
-    log = cleaned.select("doc_id", F.explode("c.log").alias("e")).select("doc_id", "e.offset", "e.length", "e.orig", "e.replacement")
-    return annotations.restore_replacements(tokens, log, ["%User"])
+    return noise.restored_tokens(_docs(spark, d), ["%User"])
 
 
 @R.add()

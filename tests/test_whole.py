@@ -1,8 +1,10 @@
 """Queries that must cover their whole input, on small fixtures."""
 
+import re
+
 import pytest
 
-from korpusmill.operators import ngrams, noise
+from korpusmill.operators import annotations, ngrams, noise
 from korpusmill.plans import registry
 
 
@@ -146,3 +148,36 @@ def test_preprocessing_is_chained(spark, tables):
     assert got == {"d0": "grüsse aus köln", "d1": "nichts da kuchen", "d4": "alles gut"}
     whole = {r["doc_id"]: r["text"] for r in registry.QUERIES["umlaut_restore"](spark, d).collect()}
     assert set(whole) == {"d0", "d1", "d2", "d4"} and "Köln" in whole["d0"] and whole["d4"] == "alles gut"
+
+
+def test_every_user_of_a_message_is_restored(spark, tables, monkeypatch):
+    """A token may hold several placeholders; messages are cut into blocks; nothing is joined or sent to the driver."""
+    texts = [
+        (1, "mit @anna und\n@bob!\n@cleo, da"), (2, "gut :) sagt (@max)"), (3, ""), (4, None), (5, "ohne alles"), (6, "  "),
+        (7, "x" * 70_000 + "\n@anna " + "wort @max " * 20_000 + "ende"), (8, "üb 😂 @änn_1 😂 @max"), (8, "wort @bob x"),
+    ]
+    d = tables(documents=([(i, t, "de") for i, t in texts], "doc_id long, text string, lang string"))
+    want = []
+    for i, t in texts:
+        if t is not None:
+            clean = noise.NoiseCleaner().clean(t).split(" ")
+            # the names as they stand in the text, in order
+            names = iter(re.findall(r"@\w+", t))
+            at = 0
+            for pos, token in enumerate(clean):
+                parts = token.split("%User")
+                want.append((i, pos, parts[0] + "".join(next(names) + p for p in parts[1:]), at, len(token)))
+                at += len(token) + 1
+    df = registry.QUERIES["noise_restore"](spark, d)
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    monkeypatch.setattr(noise, "BLOCK", 10)
+    assert sorted(map(tuple, registry.QUERIES["noise_restore"](spark, d).collect())) == sorted(want)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_every_replacement_of_a_token_is_restored(spark):
+    tokens = spark.createDataFrame([(1, 0, "a\n%User\n%User!", 0, 14), (1, 1, "b", 15, 1)], "doc_id int, pos int, token string, start int, len int")
+    log = spark.createDataFrame([(1, 2, 5, "@bob", "%User"), (1, 8, 5, "@cleopatra", "%User")], "doc_id int, offset int, length int, orig string, replacement string")
+    got = {r["pos"]: r["token"] for r in annotations.restore_replacements(tokens, log, ["%User"]).collect()}
+    assert got == {0: "a\n@bob\n@cleopatra!", 1: "b"}
